@@ -10,6 +10,8 @@ equal block pairs only, and checked for distance and length before any text is f
 
 from __future__ import annotations
 
+from collections import Counter
+from difflib import SequenceMatcher
 from itertools import combinations
 
 import numpy as np
@@ -82,6 +84,56 @@ def _texts(bits):
     return run
 
 
+def distance_bounds(a: str, b: str) -> tuple[int, int, str, str]:
+    """A lower and an upper bound of the edit distance, and the texts without common prefix and suffix, which have the same distance."""
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
+    n = min(len(x), len(y))
+    diff = np.flatnonzero(x[:n] != y[:n])
+    head = int(diff[0]) if len(diff) else n
+    n -= head
+    diff = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
+    tail = int(diff[0]) if len(diff) else n
+    ma, mb = a[head : len(a) - tail], b[head : len(b) - tail]
+    most = max(len(ma), len(mb))
+    return abs(len(ma) - len(mb)), most, ma, mb
+
+
+def word_bound(a: str, b: str) -> int:
+    """An upper bound of the edit distance from an alignment of whole words."""
+    x, y = a.split(" "), b.split(" ")
+    total = 0
+    for tag, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        if tag != "equal":
+            left, right = sum(map(len, x[i:j])) + j - i, sum(map(len, y[k:m])) + m - k
+            total += max(left, right)
+    return total
+
+
+def _bounds(similar: float):
+    """Decides pairs whose bounds decide them; leaves ``near`` null for the rest, with their middles."""
+
+    def run(it):
+        for batch in it:
+            rows = []
+            for a, b in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist()):
+                most = int((1 - similar) * max(len(a), len(b)) + 1e-9)
+                low, high, ma, mb = distance_bounds(a, b)
+                near = False if low > most else True if high <= most else None
+                if near is None:
+                    counts = Counter(ma)
+                    counts.subtract(mb)
+                    left = list(counts.values())
+                    if max(sum(v for v in left if v > 0), -sum(v for v in left if v < 0)) > most:
+                        near = False
+                    elif word_bound(ma, mb) <= most:
+                        near = True
+                rows.append((near, None, None, most) if near is not None else (None, ma, mb, most))
+            near, ma, mb, most = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_()), pa.array(ma, pa.string()), pa.array(mb, pa.string()), pa.array(most, pa.int32())], ["a", "b", "near", "ma", "mb", "most"])
+
+    return run
+
+
 def _block(sim, k: int):
     return F.shiftrightunsigned(F.shiftleft(sim, 64 - EDGES[k + 1]), 64 - EDGES[k + 1] + EDGES[k])
 
@@ -108,8 +160,8 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
     text = source.mapInArrow(_texts(bits), "key long, line string").groupBy("key").agg(F.min("line").alias("line"))
     text = ws.table(text, "texts")
     both = pairs.join(text.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b")
-    most = F.floor((1 - F.lit(similar)) * F.greatest(F.length("la"), F.length("lb")) + 1e-9).cast("int")
-    links = ws.table(both.withColumn("most", most).where("levenshtein(la, lb, most) between 0 and most").select("a", "b"), "links")
+    bounded = both.select("a", "b", "la", "lb").mapInArrow(_bounds(similar), "a long, b long, near boolean, ma string, mb string, most int")
+    links = ws.table(bounded.where("near or near is null and levenshtein(ma, mb, most) between 0 and most").select("a", "b"), "links")
     ws.drop("pairs", "texts", "classes")
     return seen, connected_components(links, ws)
 
