@@ -217,11 +217,14 @@ def starts(df: DataFrame, size: str) -> DataFrame:
     return ranged.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(base, "_r").withColumn("start", F.col("_base") + F.col("_in")).drop("_r", "_in", "_base")
 
 
-def _fetch(packs: str):
+FETCH_ROWS = 256
+
+
+def _fetch(packs: str, digests: bool):
     def run(it):
         expand = zstandard.ZstdDecompressor()
         handles: dict[int, object] = {}
-        for b in it:
+        for b in (batch.slice(i, FETCH_ROWS) for batch in it for i in range(0, batch.num_rows, FETCH_ROWS)):
             out, want = [], b.column("n_tokens").to_pylist()
             for n, chunks, root in zip(want, b.column("chunks").to_pylist(), b.column("root").to_pylist()):
                 parts = []
@@ -241,19 +244,19 @@ def _fetch(packs: str):
                 ids = b"".join(parts)
                 if len(ids) != 4 * n or merkle([c["name"] for c in chunks]) != root:
                     raise ValueError("a document does not match its manifest")
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                out.append(zlib.crc32(ids) if digests else ids)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(out, pa.int64() if digests else pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"])
 
     return run
 
 
-def read_store(spark, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids)`` from the files alone; ids are little-endian unsigned 32-bit integers."""
+def read_store(spark, path: str, digests: bool = False) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids)`` from the files alone; ids are little-endian unsigned 32-bit integers. With digests, their CRC-32 instead."""
     ship(spark)
     recipes = spark.read.parquet(f"{path}/recipes")
     roots = spark.read.parquet(f"{path}/manifest").select(F.explode("docs").alias("d")).select(F.col("d.start").alias("_s"), F.col("d.root").alias("root"))
     joined = recipes.join(roots, recipes["start"] == roots["_s"]).select("doc_id", "start", "n_tokens", "chunks", "root")
-    return joined.mapInArrow(_fetch(f"{local_path(path)}/packs"), "doc_id long, start long, n_tokens long, ids binary")
+    return joined.mapInArrow(_fetch(f"{local_path(path)}/packs", digests), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids binary"))
 
 
 def stored_documents(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
@@ -268,11 +271,6 @@ def stored_documents(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFr
     ship(spark)
     ws = Workspace(spark, "tokens")
     write_store(docs, tokenizer, end_id, ws.at("store"), ws)
-    crc = F.pandas_udf(_crc, "long")
-    return read_store(spark, ws.at("store")).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
-
-
-def _crc(s):
-    return s.map(zlib.crc32)
+    return read_store(spark, ws.at("store"), digests=True)
 
 
