@@ -117,7 +117,8 @@ def plan(docs: DataFrame, ws: Workspace, block: int = BLOCK, seed: int = 5) -> t
     placed = ws.table(placed, "placed")
     spans = placed.where("size > 0").select("doc_id", "source", "tie", "nth", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     times = times.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "times")
-    hit = spans.join(times, F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
+    # The planner takes the draws for small, as they come from a local table; they grow with the corpus.
+    hit = spans.join(times.hint("merge"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
     lo = F.greatest(F.lit(0), F.col("block") * block - F.col("at"))
     hi = F.least(F.col("size"), (F.col("block") + 1) * block - F.col("at"))
     picks = hit.groupBy("source", "doc_id", "tie", "nth").agg(F.array_sort(F.collect_list(F.struct(lo.alias("lo"), hi.alias("hi"), "times"))).alias("picks"))
