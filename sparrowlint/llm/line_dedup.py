@@ -1,11 +1,15 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
+"""Fuzzy line dedup: SimHash, pigeonhole blocks, MinHash bands, edit similarity, one occurrence per connected group.
 
 Lines are normalised (lower case; runs of anything but letters and digits become one
-space). Equal normalised lines are one class. Two classes link when their 64-bit SimHash
-values differ in at most three bits and their edit similarity is at least ``similar``.
-Of five blocks of the SimHash, three changed bits leave two untouched: the join is on the
+space). Equal normalised lines are one class. Two classes link when they are candidates
+and their edit similarity is at least ``similar``. Candidates come from two joins. The
+first is on 64-bit SimHash values over words that differ in at most three bits. Of five blocks of the SimHash, three changed bits leave two untouched: the join is on the
 ten pairs of blocks, keys of 25 and 26 bits. Each pair is emitted at the first of its
 equal block pairs only, and checked for distance and length before any text is fetched.
+One changed word moves more bits than that in all but the longest lines, so the second
+join is on bands of MinHash values over character n-grams and, for lines so short that an
+edit breaks most n-grams, on the line with any one character left out, which finds every
+pair one edit apart.
 """
 
 from __future__ import annotations
@@ -20,13 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowlint.llm.common import bitmap_of, in_bitmap, rows_of, segment_hashes, signed, slices, string_hashes, texts, words
+from sparrowlint.llm.common import bitmap_of, in_bitmap, mix, rows_of, segment_hashes, signed, slices, string_hashes, texts, window_hashes, words
 from sparrowlint.llm.components import connected_components
 from sparrowlint.runtime import Workspace, ship
 
 BITS = 3
 EDGES = (0, 13, 26, 39, 52, 64)
 LEAST_CHARS = 20
+GRAM, BANDS, BAND_ROWS = 7, 12, 3
+SHORT = 30
 
 
 def normal_lines(arr: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -66,6 +72,61 @@ def _lines(it):
         yield out.filter(take)
 
 
+def minhash_bands(lines: list[str], bands: int) -> np.ndarray:
+    """``bands`` keys of each line, each of BAND_ROWS MinHash values over its n-grams of GRAM characters; no line is shorter."""
+    n = np.array([len(x) for x in lines], np.int64)
+    off = np.concatenate([[0], np.cumsum(n)])
+    flat = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    grams = np.zeros(len(flat), np.uint64)
+    w = window_hashes(mix(flat + np.uint64(1)), GRAM)
+    grams[: len(w)] = w
+    across = np.arange(len(flat)) + GRAM > np.repeat(off[1:], n)
+    low = (grams >> np.uint64(32)).astype(np.uint32)
+    factors = mix(np.arange(1, bands * BAND_ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    keys = np.empty((len(lines), bands), np.uint64)
+    for k in range(bands):
+        key = np.full(len(lines), k + 1, np.uint64)
+        for f in factors[k * BAND_ROWS : (k + 1) * BAND_ROWS]:
+            x = low * f
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            x[across] = 0xFFFFFFFF
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, off[:-1]))
+        keys[:, k] = key
+    return keys
+
+
+def _bands(similar: float, least: int, bands: int):
+    """``(v, key, n)``: join keys of each class. Lines of fewer than ``one`` characters allow no edit, of fewer than ``two`` only one."""
+    one, two = (int(np.ceil(e / (1 - similar) - 1e-6)) for e in (1, 2))
+    low, wide = int(similar * one), max(GRAM, int(similar * two))
+
+    def run(it):
+        seen: set[int] = set()
+        for b in slices(it, "text"):
+            lines, _ = normal_lines(texts(b))
+            codes, off, distinct = words(lines)
+            key = signed(segment_hashes(string_hashes(distinct)[codes], off[:-1], off[1:]))
+            n = pc.utf8_length(lines).to_numpy(zero_copy_only=False)
+            _, first = np.unique(key, return_index=True)
+            first = np.array([i for i in first[n[first] >= max(1, least, low)] if int(key[i]) not in seen], np.int64)
+            if len(seen) > 1 << 17:
+                seen.clear()
+            seen.update(key[first].tolist())
+            v, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            if len(long := first[n[first] >= wide]):
+                v.append(minhash_bands(lines.take(pa.array(long)).to_pylist(), bands).ravel())
+                at.append(np.repeat(long, bands))
+            if len(short := first[n[first] < max(two, SHORT)]):
+                left = [list({x, *(x[:i] + x[i + 1 :] for i in range(len(x)))}) for x in lines.take(pa.array(short)).to_pylist()]
+                v.append(string_hashes(pa.array([y for ys in left for y in ys], pa.string()), seed=3))
+                at.append(np.repeat(short, [len(ys) for ys in left]))
+            rows = np.concatenate(at)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(v))), pa.array(key[rows]), pa.array(n[rows].astype(np.int32))], ["v", "key", "n"])
+
+    return run
+
+
 def _texts(bits):
     def run(it):
         seen: set[int] = set()
@@ -138,8 +199,11 @@ def _block(sim, k: int):
     return F.shiftrightunsigned(F.shiftleft(sim, 64 - EDGES[k + 1]), 64 - EDGES[k + 1] + EDGES[k])
 
 
-def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
-    """``occurrences(doc_id, tie, line, key, sim, n)`` and ``roots(node, root)`` of linked classes."""
+def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = None, bands: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``occurrences(doc_id, tie, line, key, sim, n)`` and ``roots(node, root)`` of linked classes.
+
+    Without ``bands`` candidates are those of the SimHash join alone; dedup always has them.
+    """
     spark = docs.sparkSession
     ship(spark)
     ws = ws or Workspace(spark, "lines")
@@ -155,7 +219,14 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
     same = [_block(differ, k) == 0 for k in range(5)]
     first = F.coalesce(*[F.when(same[a] & same[b], F.lit(i)) for i, (a, b) in enumerate(pairs_of)])
     near = x.join(y, ["t", "v"]).where("keyx < keyy").where(F.bit_count(differ) <= BITS).where(F.col("t") == first).where(F.least("nx", "ny") >= F.lit(similar) * F.greatest("nx", "ny"))
-    pairs = ws.table(near.select(F.col("keyx").alias("a"), F.col("keyy").alias("b")), "pairs")
+    near = near.select(F.col("keyx").alias("a"), F.col("keyy").alias("b"))
+    if bands and similar < 1:
+        found = source.mapInArrow(_bands(similar, LEAST_CHARS, bands), "v long, key long, n int")
+        found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "v").dropDuplicates(["v", "key"])
+        x, y = (found.select("v", *(F.col(c).alias(c + s) for c in ("key", "n"))) for s in "xy")
+        banded = x.join(y, "v").where("keyx < keyy").where(F.least("nx", "ny") >= F.lit(similar) * F.greatest("nx", "ny"))
+        near = near.unionByName(banded.select(F.col("keyx").alias("a"), F.col("keyy").alias("b"))).distinct()
+    pairs = ws.table(near, "pairs")
     bits = spark.sparkContext.broadcast(bitmap_of(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a"))
     text = source.mapInArrow(_texts(bits), "key long, line string").groupBy("key").agg(F.min("line").alias("line"))
     text = ws.table(text, "texts")
@@ -173,7 +244,7 @@ def removed_lines(docs: DataFrame, similar: float = 0.9) -> tuple[DataFrame, Wor
     minima; occurrences then meet their group's first in an equi-join that AQE splits.
     """
     ws = Workspace(docs.sparkSession, "lines")
-    seen, roots = line_groups(docs, similar, ws)
+    seen, roots = line_groups(docs, similar, ws, BANDS)
     per_key = seen.groupBy("key").agg(F.min(F.struct("doc_id", "tie", "line")).alias("first"), F.count("*").alias("c"))
     rooted = per_key.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.sum("c").alias("total"))

@@ -213,6 +213,19 @@ def test_line_links_match_brute_force(spark):
     assert {r.node for r in roots.collect()} == nodes
 
 
+def test_line_dedup_finds_one_changed_word(spark):
+    rng, lines = random.Random(11), []
+    for n in (5, 8, 12, 20, 40):
+        for _ in range(40):
+            w = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) for _ in range(n)]
+            k = rng.randrange(n)
+            lines += [" ".join(w), " ".join([*w[:k], w[k][:-1] + "é", *w[k + 1 :]])]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.line_report(df).collect() if r.n_removed}
+    # Each pair is one edit apart in at least 20 characters; edit similarity alone says that all 200 repeat.
+    assert all(i % 2 for i in got) and len(got) >= 196
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t")).collect()}
