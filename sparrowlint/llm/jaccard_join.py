@@ -66,11 +66,11 @@ def _describe(k: int):
             w, off = shingle_sets(texts(b), k)
             counts += np.bincount((w >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
             none = pa.nulls(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(signed(set_keys(w, off))), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n", "cls", "slot", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(np.diff(off)), pa.array(signed(set_keys(w, off))), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "tie", "n", "cls", "slot", "counts"])
         for s, part in enumerate(counts.reshape(-1, 1 << _SLOT_BITS)):
             if part.any():
                 null = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([null, null, null, pa.array([s], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["doc_id", "n", "cls", "slot", "counts"])
+                yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array([s], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["doc_id", "tie", "n", "cls", "slot", "counts"])
 
     return run
 
@@ -150,16 +150,16 @@ def _verify(t: int):
 
 
 def similar_sets(docs: DataFrame, k: int = 5, percent: int = 90, ws: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
-    """``described(doc_id, n, cls)`` and the verified links ``(a, b)`` between classes of equal sets.
+    """``described(doc_id, tie, n, cls)`` and the verified links ``(a, b)`` between classes of equal sets.
 
-    cls is a 64-bit hash of the whole set. Empty sets have n = 0 and link with nothing.
+    tie is a hash of the text, cls a 64-bit hash of the whole set. Empty sets have n = 0 and link with nothing.
     """
     spark = docs.sparkSession
     ship(spark)
     ws = ws or Workspace(spark, "jaccard")
     docs = docs.select("doc_id", "text")
-    both = ws.table(docs.mapInArrow(_describe(k), "doc_id long, n long, cls long, slot int, counts binary"), "described")
-    described = both.where("slot is null").select("doc_id", "n", "cls")
+    both = ws.table(docs.withColumn("tie", F.xxhash64("text")).mapInArrow(_describe(k), "doc_id long, tie long, n long, cls long, slot int, counts binary"), "described")
+    described = both.where("slot is null").select("doc_id", "tie", "n", "cls")
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for row in both.where("slot is not null").select("slot", "counts").repartition(8, "slot").mapInArrow(_add, "slot int, counts binary").toLocalIterator():
         sketch[row.slot << _SLOT_BITS : (row.slot + 1) << _SLOT_BITS] = np.frombuffer(row.counts, np.int64)
@@ -211,14 +211,21 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 90) -> DataFrame:
 def keep_one_per_group(docs: DataFrame, k: int = 5, percent: int = 90) -> DataFrame:
     """The documents without near copies: of each component the row with the least doc_id stays.
 
-    Rows with an empty set stay. Where rows repeat a doc_id that stays, the one whose
-    text has the least hash does. All columns of docs are kept.
+    A null doc_id comes last; of rows with one doc_id the one whose text has the least hash
+    stays, and of repeated rows one. Rows of different components all stay, whether or not
+    they share a doc_id or have none. Rows with an empty set stay. All columns of docs are kept.
     """
     ws = Workspace(docs.sparkSession, "onepergroup")
-    stay = jaccard_groups(docs, k, percent).where("n_shingles = 0 or doc_id <=> component_id")
-    stay = ws.table(stay.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_full")).withColumnRenamed("doc_id", "_keep"), "stay")
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_keep"]))
-    if not stay.where("_n > 1 and _full > 0").isEmpty():
-        w = Window.partitionBy("_keep").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn("_rank", F.row_number().over(w)).where("_rank = 1 or _full = 0").drop("_rank")
+    described, links = similar_sets(docs, k, percent, ws)
+    full = described.where("n > 0")
+    classes = full.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"))
+    rooted = classes.join(connected_components(links, ws).withColumnRenamed("node", "cls"), "cls", "left")
+    least = rooted.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first"))
+    stay = least.select(F.col("first.doc_id").alias("_keep"), F.col("first.tie").alias("_tie"), F.lit(True).alias("_full"))
+    stay = ws.table(stay.unionByName(described.where("n = 0").select(F.col("doc_id").alias("_keep"), F.col("tie").alias("_tie"), F.lit(False).alias("_full")).distinct()), "stay")
+    kept = docs.withColumn("_t", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_t") == F.col("_tie")))
+    if not full.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
+        w = Window.partitionBy("_keep", "_tie").orderBy("_t")
+        once = kept.where("_full").withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
+        return once.select(*docs.columns).unionByName(kept.where("not _full").select(*docs.columns))
     return kept.select(*docs.columns)

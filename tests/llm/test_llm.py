@@ -71,6 +71,15 @@ def test_jaccard(spark, rows, docs, none):
     assert not {100, 107} & set(kept) and {0, 300, 301, None} <= set(kept)
 
 
+def test_one_per_group_keeps_every_component(spark):
+    base = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(12)]
+    data = [(None, base[i]) for i in range(5)] + [(None, base[0]), (None, ""), (None, ""), (1, base[5]), (1, base[6]), (1, base[6]), (2, base[5]), (3, base[1]), (4, base[7] + " y"), (4, base[7]), (5, None), (5, base[8])]
+    got = [(r.doc_id, r.text) for r in jaccard_join.keep_one_per_group(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    sevens = [r for r in got if r[0] == 4]
+    want = [(None, base[0]), (None, base[2]), (None, base[3]), (None, base[4]), (None, ""), (None, ""), (1, base[5]), (1, base[6]), (3, base[1]), (5, None), (5, base[8])]
+    assert len(sevens) == 1 and sorted((r for r in got if r[0] != 4), key=str) == sorted(want, key=str)
+
+
 def test_substrings(spark, rows, docs, none, monkeypatch):
     def brute():
         seen, out = set(), {}
