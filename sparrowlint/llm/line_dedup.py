@@ -60,16 +60,19 @@ def simhash(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key, sim
 
 
-def _lines(it):
-    for b in slices(it, "text"):
-        lines, off = normal_lines(texts(b))
-        key, sim = simhash(lines)
-        row = rows_of(off)
-        n = pc.utf8_length(lines)
-        take = pc.greater_equal(n, LEAST_CHARS)
-        line = np.arange(len(row)) - off[row]
-        out = pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), b.column("tie").take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(signed(key)), pa.array(signed(sim)), n.cast(pa.int32())], ["doc_id", "tie", "line", "key", "sim", "n"])
-        yield out.filter(take)
+def _lines(least: int):
+    def run(it):
+        for b in slices(it, "text"):
+            lines, off = normal_lines(texts(b))
+            key, sim = simhash(lines)
+            row = rows_of(off)
+            n = pc.utf8_length(lines)
+            take = pc.greater_equal(n, max(1, least))
+            line = np.arange(len(row)) - off[row]
+            out = pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), b.column("tie").take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(signed(key)), pa.array(signed(sim)), n.cast(pa.int32())], ["doc_id", "tie", "line", "key", "sim", "n"])
+            yield out.filter(take)
+
+    return run
 
 
 def minhash_bands(lines: list[str], bands: int) -> np.ndarray:
@@ -135,7 +138,7 @@ def _texts(bits):
             codes, off, distinct = words(lines)
             key = signed(segment_hashes(string_hashes(distinct)[codes], off[:-1], off[1:]))
             _, first = np.unique(key, return_index=True)
-            ok = in_bitmap(bits.value, key[first]) & pc.greater_equal(pc.utf8_length(lines), LEAST_CHARS).to_numpy(zero_copy_only=False)[first]
+            ok = in_bitmap(bits.value, key[first])
             first = [i for i in first[ok] if int(key[i]) not in seen]
             if len(seen) > 1 << 17:
                 seen.clear()
@@ -199,20 +202,22 @@ def _block(sim, k: int):
     return F.shiftrightunsigned(F.shiftleft(sim, 64 - EDGES[k + 1]), 64 - EDGES[k + 1] + EDGES[k])
 
 
-def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = None, bands: int = 0) -> tuple[DataFrame, DataFrame]:
+def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = None, bands: int = 0, least: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """``occurrences(doc_id, tie, line, key, sim, n)`` and ``roots(node, root)`` of linked classes.
 
     Without ``bands`` candidates are those of the SimHash join alone; dedup always has them.
+    Lines of fewer than ``least`` characters take no part; under LEAST_CHARS they have no SimHash
+    candidates.
     """
     spark = docs.sparkSession
     ship(spark)
     ws = ws or Workspace(spark, "lines")
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    seen = ws.table(source.mapInArrow(_lines, "doc_id long, tie long, line int, key long, sim long, n int"), "lines")
+    seen = ws.table(source.mapInArrow(_lines(least), "doc_id long, tie long, line int, key long, sim long, n int"), "lines")
     classes = ws.table(seen.groupBy("key").agg(F.min("sim").alias("sim"), F.min("n").alias("n")), "classes")
     pairs_of = list(combinations(range(5), 2))
     keys = [F.struct(F.lit(i).alias("t"), (F.shiftleft(_block(F.col("sim"), a), 13).bitwiseOR(_block(F.col("sim"), b))).alias("v")) for i, (a, b) in enumerate(pairs_of)]
-    blocks = classes.select("key", "sim", "n", F.explode(F.array(*keys)).alias("k")).select(F.col("k.t").alias("t"), F.col("k.v").alias("v"), "key", "sim", "n")
+    blocks = classes.where(F.col("n") >= LEAST_CHARS).select("key", "sim", "n", F.explode(F.array(*keys)).alias("k")).select(F.col("k.t").alias("t"), F.col("k.v").alias("v"), "key", "sim", "n")
     blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "t", "v")
     x, y = (blocks.select("t", "v", *(F.col(c).alias(c + s) for c in ("key", "sim", "n"))) for s in "xy")
     differ = F.col("simx").bitwiseXOR(F.col("simy"))
@@ -221,7 +226,7 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
     near = x.join(y, ["t", "v"]).where("keyx < keyy").where(F.bit_count(differ) <= BITS).where(F.col("t") == first).where(F.least("nx", "ny") >= F.lit(similar) * F.greatest("nx", "ny"))
     near = near.select(F.col("keyx").alias("a"), F.col("keyy").alias("b"))
     if bands and similar < 1:
-        found = source.mapInArrow(_bands(similar, LEAST_CHARS, bands), "v long, key long, n int")
+        found = source.mapInArrow(_bands(similar, least, bands), "v long, key long, n int")
         found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "v").dropDuplicates(["v", "key"])
         x, y = (found.select("v", *(F.col(c).alias(c + s) for c in ("key", "n"))) for s in "xy")
         banded = x.join(y, "v").where("keyx < keyy").where(F.least("nx", "ny") >= F.lit(similar) * F.greatest("nx", "ny"))
@@ -237,14 +242,14 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
     return seen, connected_components(links, ws)
 
 
-def removed_lines(docs: DataFrame, similar: float = 0.9) -> tuple[DataFrame, Workspace]:
+def removed_lines(docs: DataFrame, similar: float = 0.9, least: int = LEAST_CHARS) -> tuple[DataFrame, Workspace]:
     """``(doc_id, tie, removed array<int>)``: the lines of each document that repeat an earlier one of their group.
 
     The first occurrence by (doc_id, hash of the text, line) stays. Groups are reduced with map-side
     minima; occurrences then meet their group's first in an equi-join that AQE splits.
     """
     ws = Workspace(docs.sparkSession, "lines")
-    seen, roots = line_groups(docs, similar, ws, BANDS)
+    seen, roots = line_groups(docs, similar, ws, BANDS, least)
     per_key = seen.groupBy("key").agg(F.min(F.struct("doc_id", "tie", "line")).alias("first"), F.count("*").alias("c"))
     rooted = per_key.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.sum("c").alias("total"))
@@ -253,15 +258,15 @@ def removed_lines(docs: DataFrame, similar: float = 0.9) -> tuple[DataFrame, Wor
     return ws.table(hit.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed"), ws
 
 
-def deduplicate_lines(docs: DataFrame, similar: float = 0.9) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, similar: float = 0.9, least: int = LEAST_CHARS) -> DataFrame:
     """The documents without their repeated lines, with the columns they had; n_chars, where there, follows the text.
 
     Lines are split at \\n and keep their order and bytes. Lines whose normal form has
-    fewer than LEAST_CHARS characters always stay. Null and empty texts stay as they are,
+    fewer than ``least`` characters, or none, always stay. Null and empty texts stay as they are,
     and documents that lose all lines stay with an empty text. Repeated rows (one doc_id,
     one text) count as one document and keep the same lines. Empty tables give no rows.
     """
-    removed, _ = removed_lines(docs, similar)
+    removed, _ = removed_lines(docs, similar, least)
     names = docs.columns
     r = removed.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("removed").alias("_removed"))
     joined = docs.withColumn("_t", F.xxhash64("text")).join(r, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tie")), "left")
@@ -271,9 +276,9 @@ def deduplicate_lines(docs: DataFrame, similar: float = 0.9) -> DataFrame:
     return joined.select(*cols)
 
 
-def line_report(docs: DataFrame, similar: float = 0.9) -> DataFrame:
+def line_report(docs: DataFrame, similar: float = 0.9, least: int = LEAST_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the UTF-8 text left) per document; a null text counts as empty."""
-    removed, _ = removed_lines(docs, similar)
+    removed, _ = removed_lines(docs, similar, least)
     r = removed.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("removed").alias("_removed"))
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_t")).join(r, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tie")), "left")
     lines = F.split("text", "\n", -1)

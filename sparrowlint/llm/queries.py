@@ -42,7 +42,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(documents(spark, sf_dir))
+    return line_dedup.line_report(documents(spark, sf_dir), least=1)
 
 
 def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

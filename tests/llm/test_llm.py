@@ -235,6 +235,18 @@ def test_line_dedup_finds_one_changed_word(spark):
     assert all(i % 2 for i in got) and len(got) >= 196
 
 
+def test_short_lines_repeat(spark, tmp_path):
+    import corpus_pipeline
+    from sparrowlint.llm import queries
+
+    data = [(1, "Short\n\nb\nabcdefghijklm"), (2, "short!\n\nB\nc"), (3, "abcdefghijklx\n \nc\nb c")]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in data], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, "").collect()}
+    assert out == {1: data[0][1], 2: "\nc", 3: " \nb c"}
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_removed for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 2, 3: 2}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t")).collect()}
