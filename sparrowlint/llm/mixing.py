@@ -124,7 +124,7 @@ def plan(docs: DataFrame, ws: Workspace, block: int = BLOCK, seed: int = 5) -> t
     picks = hit.groupBy("source", "doc_id", "tie", "nth").agg(F.array_sort(F.collect_list(F.struct(lo.alias("lo"), hi.alias("hi"), "times"))).alias("picks"))
     picks = picks.select(*(F.col(c).alias("_" + c) for c in ("source", "doc_id", "tie", "nth")), "picks")
     same = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("tie").eqNullSafe(F.col("_tie")) & (F.col("nth") == F.col("_nth"))
-    return placed.join(picks, same, "left").select("doc_id", "source", "size", "tie", "nth", "at", "picks"), {"sizes": sizes, "targets": goal}
+    return placed.join(picks, same, "left").select("doc_id", "source", "size", "tie", "nth", "at", "picks"), {"sizes": sizes, "targets": goal, "placed": placed}
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
@@ -149,48 +149,50 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     A pass takes the document's words that lie in blocks drawn that often; where these are
     all its words the row is the document itself, else its text is those words' stretches
     of the text, joined by a space, and n_chars is its length. Documents of no words are
-    kept as they are, once.
+    kept as they are, once. Repeated rows are documents of their own, each with its own draws.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "mixdocs")
-    rows, _ = plan(docs, ws)
+    rows, found = plan(docs, ws)
     names = docs.columns
-    picks = rows.where("picks is not null or size = 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), "nth", "size", "picks")
-    picks = picks.groupBy("_id", "_source", "_tie").agg(F.collect_list(F.struct("nth", "size", "picks")).alias("_sets"))
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    joined = keyed.join(picks, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_t") == F.col("_tie")))
+    keyed, one = docs.withColumn("_t", F.xxhash64("text")), F.lit(1)
+    repeated = not found["placed"].groupBy("doc_id", "source", "tie").count().where("count > 1").isEmpty()
+    # The nth copy of a row takes the draws of the nth such row of the plan; copies differ in nothing the plan knows of.
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "source", "tie").orderBy("nth")) if repeated else one)
+    keyed = keyed.withColumn("_c", F.row_number().over(Window.partitionBy("doc_id", "source", "_t").orderBy("_t")) if repeated else one)
+    picks = rows.where("picks is not null or size = 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), "_copy", F.struct("size", "picks").alias("_set"))
+    joined = keyed.join(picks, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_t") == F.col("_tie")) & (F.col("_c") == F.col("_copy")))
 
     def cut(it):
         import re
 
         word = re.compile(r"[^\x20\x09-\x0d]+")
         for b in it:
-            text, sets = b.column("text").to_pylist(), b.column("_sets").to_pylist()
+            text, sets = b.column("text").to_pylist(), b.column("_set").to_pylist()
             keep, new = [], []
-            for i, (x, ss) in enumerate(zip(text, sets)):
-                for s in ss[:1]:
-                    if not s["size"]:
-                        keep.append(i)
-                        new.append(x)
-                        continue
-                    spans = None
-                    for e in range(1, max(p["times"] for p in s["picks"]) + 1):
-                        runs: list[list[int]] = []
-                        for p in s["picks"]:
-                            if p["times"] >= e:
-                                if runs and runs[-1][1] == p["lo"]:
-                                    runs[-1][1] = p["hi"]
-                                else:
-                                    runs.append([p["lo"], p["hi"]])
-                        if runs == [[0, s["size"]]]:
-                            piece = x
-                        else:
-                            spans = spans or [m.span() for m in word.finditer(x)]
-                            piece = " ".join(x[spans[lo][0] : spans[hi - 1][1]] for lo, hi in runs)
-                        keep.append(i)
-                        new.append(piece)
+            for i, (x, s) in enumerate(zip(text, sets)):
+                if not s["size"]:
+                    keep.append(i)
+                    new.append(x)
+                    continue
+                spans = None
+                for e in range(1, max(p["times"] for p in s["picks"]) + 1):
+                    runs: list[list[int]] = []
+                    for p in s["picks"]:
+                        if p["times"] >= e:
+                            if runs and runs[-1][1] == p["lo"]:
+                                runs[-1][1] = p["hi"]
+                            else:
+                                runs.append([p["lo"], p["hi"]])
+                    if runs == [[0, s["size"]]]:
+                        piece = x
+                    else:
+                        spans = spans or [m.span() for m in word.finditer(x)]
+                        piece = " ".join(x[spans[lo][0] : spans[hi - 1][1]] for lo, hi in runs)
+                    keep.append(i)
+                    new.append(piece)
             out = b.select(names).take(pa.array(keep, pa.int64()))
             cols = [pa.array(new, pa.string()) if n == "text" else pa.array([None if t is None else len(t) for t in new], pa.int64()) if n == "n_chars" else out.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.select(*names, "_sets").mapInArrow(cut, docs.schema)
+    return joined.select(*names, "_set").mapInArrow(cut, docs.schema)

@@ -178,6 +178,18 @@ def test_mixing(spark, rows, docs, none):
     assert sorted(mixing.permute(np.arange(1000), n, np.full(1000, 5, np.uint64))) == list(range(1000))
 
 
+def test_mixed_copies_emit_their_own_draws(spark):
+    texts = [" ".join(f"t{i}w{j}" for j in range(200)) for i in range(3)]
+    data = [(i, t, s, len(t)) for i, t in enumerate(texts) for s in ("a", "b") for _ in range(4)] + [(9, "", "a", 0)] * 2 + [(None, texts[0], None, 5)] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long")
+    want, got = {}, {}
+    for r in mixing.mixed_sizes(df).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    for r in (mixed := mixing.mix_documents(df).collect()):
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+    assert got == want and sum(r.doc_id == 9 for r in mixed) == 2
+
+
 def test_quality(spark, rows, docs, none):
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(40)], "doc_id long, quality int, toxic int")
     got = quality_rules.judged(docs, labels).collect()
