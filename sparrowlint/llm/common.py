@@ -177,3 +177,38 @@ def bitmap_of(df: DataFrame, column: str) -> np.ndarray:
 def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     p = bloom_positions(h)
     return (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+
+
+class Memo:
+    """The ids of strings seen before, in one table; past ``most`` strings only those of the last batch are kept."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.start, self.size, self.table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at: dict[str, int] = {}
+        self.last: list[tuple[list[str], np.ndarray]] = []
+
+    def slots(self, *kinds) -> np.ndarray:
+        """Where each string lies in start and size; kinds are (distinct strings, what gives ids and sizes of new ones)."""
+        if len(self.at) + sum(len(names) for names, _ in kinds) > self.most and self.at:
+            names = [w for some, _ in self.last for w in some]
+            keep = np.concatenate([slot for _, slot in self.last])
+            self.table, ends = spread(self.table, self.start[keep], self.size[keep])
+            self.at, self.start, self.size = dict(zip(names, range(len(names)))), ends[:-1], np.diff(ends)
+        self.last = []
+        for names, encode in kinds:
+            at = self.at
+            new = [w for w in names if w not in at]
+            if new:
+                ids, size = encode(new)
+                at.update(zip(new, range(len(at), len(at) + len(new))))
+                self.start = np.concatenate([self.start, len(self.table) + np.cumsum(size) - size])
+                self.size, self.table = np.concatenate([self.size, size]), np.concatenate([self.table, ids])
+            self.last.append((names, np.fromiter((at[w] for w in names), np.int64, len(names))))
+        return np.concatenate([slot for _, slot in self.last])
+
+
+def spread(table: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of the table one after another, and where each begins, with the end."""
+    ends = np.append(0, np.cumsum(size))
+    return table[np.arange(int(ends[-1])) + np.repeat(start - ends[:-1], size)], ends

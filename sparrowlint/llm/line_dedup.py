@@ -1,38 +1,43 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, MinHash bands, edit similarity, one occurrence per connected group.
+"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
 
 Lines are normalised (lower case; runs of anything but letters and digits become one
-space). Equal normalised lines are one class. Two classes link when they are candidates
-and their edit similarity is at least ``similar``. Candidates come from two joins. The
-first is on 64-bit SimHash values over words that differ in at most three bits. Of five blocks of the SimHash, three changed bits leave two untouched: the join is on the
-ten pairs of blocks, keys of 25 and 26 bits. Each pair is emitted at the first of its
-equal block pairs only, and checked for distance and length before any text is fetched.
-One changed word moves more bits than that in all but the longest lines, so the second
-join is on bands of MinHash values over character n-grams and, for lines so short that an
-edit breaks most n-grams, on the line with any one character left out, which finds every
-pair one edit apart.
+space). Equal normalised lines are one class. Two classes link when they share a block of
+their SimHash and their edit similarity is at least ``similar``.
+
+The SimHash is parted by feature. In a common one every feature sways every bit, so that
+one changed word of a line of 50 moves about five of 64 bits and no block scheme of useful
+width finds it. Here a line's features, its word bigrams, are dealt to blocks by their own
+hash, and a block is the 64-bit SimHash of its features alone. An edit changes a few
+features and with them a few blocks; by the pigeonhole principle some block stays as long
+as there are more blocks than changed features, and usually beyond. The number of blocks
+doubles with the length of the line, so that each holds SHARE to 2 * SHARE features;
+lines little above a step also have the blocks below it. The first BLOCKS of them count,
+and in lines of several blocks only those of three features or more, which chance seldom
+makes equal. Lines under SHORT characters have the hashes of their one-deletion variants
+too, which finds every pair one edit apart.
+
+Pairs are not all looked at. Every block value has a centre, its least class, and first all
+its classes are compared with that; what links to one centre is one group already. Then
+only classes of different groups that share a value are compared with each other, so a
+large cluster of near copies costs one comparison a line, and no link between groups is lost.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from difflib import SequenceMatcher
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowlint.llm.common import bitmap_of, in_bitmap, mix, rows_of, segment_hashes, signed, slices, string_hashes, texts, window_hashes, words
+from sparrowlint.llm.common import free_name, mix, rows_of, segment_hashes, signed, slices, string_hashes, texts, window_hashes, words
 from sparrowlint.llm.components import connected_components
 from sparrowlint.runtime import Workspace, ship
 
-BITS = 3
-EDGES = (0, 13, 26, 39, 52, 64)
-LEAST_CHARS = 20
-GRAM, BANDS, BAND_ROWS = 7, 12, 3
-SHORT = 30
+SHARE, BLOCKS, FEW_WORDS, SHORT = 2.5, 12, 6, 30
+SEEN = 1 << 17
+_SPREAD = np.array([sum(((x >> j) & 1) << (8 * j) for j in range(8)) for x in range(256)], np.uint64)
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
 
 def normal_lines(arr: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -43,244 +48,317 @@ def normal_lines(arr: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pc.ascii_trim_whitespace(lists.flatten()), off - off[0]
 
 
-def simhash(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key and the SimHash over the words of each line."""
+def line_keys(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit key of each line, the hashes of its words, and their offsets."""
     codes, off, distinct = words(lines)
     h = string_hashes(distinct)[codes]
-    key = segment_hashes(h, off[:-1], off[1:])
-    full = np.flatnonzero(np.diff(off) > 0)
-    sim = np.zeros(len(off) - 1, np.uint64)
-    for a in range(0, len(full), 4096):
-        rows = full[a : a + 4096]
-        lo, hi = off[rows[0]], off[rows[-1] + 1]
-        bits = np.unpackbits(h[lo:hi].byteswap().view(np.uint8)).reshape(-1, 64)
-        ones = np.add.reduceat(bits, off[rows] - lo, axis=0, dtype=np.int32)
-        up = 2 * ones > np.diff(off)[rows, None]
-        sim[rows] = np.packbits(up, axis=1).view(">u8").ravel().astype(np.uint64)
-    return key, sim
-
-
-def _lines(least: int):
-    def run(it):
-        for b in slices(it, "text"):
-            lines, off = normal_lines(texts(b))
-            key, sim = simhash(lines)
-            row = rows_of(off)
-            n = pc.utf8_length(lines)
-            take = pc.greater_equal(n, max(1, least))
-            line = np.arange(len(row)) - off[row]
-            out = pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), b.column("tie").take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(signed(key)), pa.array(signed(sim)), n.cast(pa.int32())], ["doc_id", "tie", "line", "key", "sim", "n"])
-            yield out.filter(take)
-
-    return run
-
-
-def minhash_bands(lines: list[str], bands: int) -> np.ndarray:
-    """``bands`` keys of each line, each of BAND_ROWS MinHash values over its n-grams of GRAM characters; no line is shorter."""
-    n = np.array([len(x) for x in lines], np.int64)
-    off = np.concatenate([[0], np.cumsum(n)])
-    flat = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    grams = np.zeros(len(flat), np.uint64)
-    w = window_hashes(mix(flat + np.uint64(1)), GRAM)
-    grams[: len(w)] = w
-    across = np.arange(len(flat)) + GRAM > np.repeat(off[1:], n)
-    low = (grams >> np.uint64(32)).astype(np.uint32)
-    factors = mix(np.arange(1, bands * BAND_ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-    keys = np.empty((len(lines), bands), np.uint64)
-    for k in range(bands):
-        key = np.full(len(lines), k + 1, np.uint64)
-        for f in factors[k * BAND_ROWS : (k + 1) * BAND_ROWS]:
-            x = low * f
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            x[across] = 0xFFFFFFFF
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, off[:-1]))
-        keys[:, k] = key
-    return keys
-
-
-def _bands(similar: float, least: int, bands: int):
-    """``(v, key, n)``: join keys of each class. Lines of fewer than ``one`` characters allow no edit, of fewer than ``two`` only one."""
-    one, two = (int(np.ceil(e / (1 - similar) - 1e-6)) for e in (1, 2))
-    low, wide = int(similar * one), max(GRAM, int(similar * two))
+    return segment_hashes(h, off[:-1], off[1:]), h, off
+
+
+def simhash(f: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The 64-bit SimHash of the features from each start to the next: a bit is set where it is in more than half of them."""
+    n = np.diff(np.append(starts, len(f)))
+    out = np.zeros(len(starts), np.uint64)
+    half = np.minimum(n // 2 + 1, 127).astype(np.uint64) * _ONES
+    raw = f.view(np.uint8).reshape(-1, 8)
+    for k in range(8):
+        # Eight counters of a byte each: a comparison sets the top bit of those that reach the half.
+        counts = np.add.reduceat(_SPREAD[raw[:, k]], starts)
+        up = (((counts | _TOPS) - half) & _TOPS) >> np.uint64(7)
+        out |= ((up * np.uint64(0x0102040810204080)) >> np.uint64(56)) << np.uint64(8 * k)
+    for i in np.flatnonzero(n > 127):
+        bits = np.unpackbits(raw[starts[i] : starts[i] + n[i]], axis=1)
+        out[i] = np.packbits(2 * bits.sum(axis=0) > n[i]).view(np.uint64)[0]
+    return out
+
+
+def line_blocks(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(line, value)`` of every block of the lines, given the hashes of their words."""
+    n = np.diff(off)
+    row = rows_of(off)
+    inside = row[1:] == row[:-1]
+    few = (n <= FEW_WORDS)[row]
+    f = np.concatenate([window_hashes(h, 2)[inside], mix(h[few] + np.uint64(99))])
+    fr = np.concatenate([row[:-1][inside], row[few]])
+    m = np.bincount(fr, minlength=len(n))
+    level = np.floor(np.log2(np.maximum(m / SHARE, 1))).astype(np.int64)
+    near = (level > 0) & (m < 1.25 * SHARE * 2.0**level)
+    deal = (f >> np.uint64(40)).astype(np.int64)
+    parts = []
+    for below in (0, 1):
+        lv = (level - below)[fr]
+        g = deal & ((1 << np.maximum(lv, 0)) - 1)
+        keep = (g < BLOCKS) & (near[fr] if below else True)
+        parts.append((((fr[keep] * 2 + below) * 64 + lv[keep]) * BLOCKS + g[keep], f[keep]))
+    cell, f = (np.concatenate(x) for x in zip(*parts))
+    if not len(cell):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    order = np.argsort(cell)
+    cell, f = cell[order], f[order]
+    s = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    count, cell = np.diff(np.append(s, len(cell))), cell[s]
+    line = cell // (128 * BLOCKS)
+    keep = (count >= 3) | (level[line] < 2)
+    value = mix(simhash(f, s) + (cell % (64 * BLOCKS)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return line[keep], value[keep]
+
+
+def _lines(least: int, similar: float):
+    """Every line; of each class, where it is first seen, also its blocks and its text."""
+    one = int(np.ceil(1 / (1 - similar) - 1e-6)) if similar < 1 else 1 << 30
+    low = int(similar * one)
 
     def run(it):
         seen: set[int] = set()
         for b in slices(it, "text"):
-            lines, _ = normal_lines(texts(b))
-            codes, off, distinct = words(lines)
-            key = signed(segment_hashes(string_hashes(distinct)[codes], off[:-1], off[1:]))
-            n = pc.utf8_length(lines).to_numpy(zero_copy_only=False)
+            lines, off = normal_lines(texts(b))
+            key, h, woff = line_keys(lines)
+            row, n = rows_of(off), pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
             _, first = np.unique(key, return_index=True)
-            first = np.array([i for i in first[n[first] >= max(1, least, low)] if int(key[i]) not in seen], np.int64)
-            if len(seen) > 1 << 17:
+            known = key[first].tolist()
+            first = first[np.fromiter((k not in seen for k in known), bool, len(known)) & (n[first] >= max(1, least))]
+            if len(seen) > SEEN:
                 seen.clear()
             seen.update(key[first].tolist())
-            v, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            if len(long := first[n[first] >= wide]):
-                v.append(minhash_bands(lines.take(pa.array(long)).to_pylist(), bands).ravel())
-                at.append(np.repeat(long, bands))
-            if len(short := first[n[first] < max(two, SHORT)]):
-                left = [list({x, *(x[:i] + x[i + 1 :] for i in range(len(x)))}) for x in lines.take(pa.array(short)).to_pylist()]
-                v.append(string_hashes(pa.array([y for ys in left for y in ys], pa.string()), seed=3))
-                at.append(np.repeat(short, [len(ys) for ys in left]))
-            rows = np.concatenate(at)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(v))), pa.array(key[rows]), pa.array(n[rows].astype(np.int32))], ["v", "key", "n"])
+            first = np.sort(first)
+            at, value = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            if similar < 1 and len(first):
+                size = np.diff(woff)[first]
+                sub = np.append(0, np.cumsum(size))
+                own = h[np.arange(int(sub[-1])) + np.repeat(woff[:-1][first] - sub[:-1], size)]
+                at, value = line_blocks(own, sub)
+                at = first[at]
+                if len(short := first[(n[first] >= low) & (n[first] < SHORT)]):
+                    left = [list({x, *(x[:i] + x[i + 1 :] for i in range(len(x)))}) for x in lines.take(pa.array(short)).to_pylist()]
+                    at = np.concatenate([at, np.repeat(short, [len(ys) for ys in left])])
+                    value = np.concatenate([value, string_hashes(pa.array([y for ys in left for y in ys], pa.string()), seed=3)])
+            order = np.argsort(at, kind="stable")
+            per = np.bincount(at, minlength=len(lines))
+            is_first = np.zeros(len(lines), bool)
+            is_first[first] = True
+            blocks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), pa.array(signed(value[order])))
+            take = pa.array(row)
+            out = pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("tie").take(take), pa.array((np.arange(len(row)) - off[row]).astype(np.int32)), pa.array(signed(key)), pa.array(n.astype(np.int32)), blocks, pc.if_else(pa.array(is_first), lines, pa.scalar(None, pa.string()))], ["doc_id", "tie", "line", "key", "n", "blocks", "body"])
+            yield out.filter(pa.array(n >= max(1, least)))
 
     return run
 
 
-def _texts(bits):
-    def run(it):
-        seen: set[int] = set()
-        for b in slices(it, "text"):
-            lines, _ = normal_lines(texts(b))
-            codes, off, distinct = words(lines)
-            key = signed(segment_hashes(string_hashes(distinct)[codes], off[:-1], off[1:]))
-            _, first = np.unique(key, return_index=True)
-            ok = in_bitmap(bits.value, key[first])
-            first = [i for i in first[ok] if int(key[i]) not in seen]
-            if len(seen) > 1 << 17:
-                seen.clear()
-            seen.update(int(key[i]) for i in first)
-            yield pa.RecordBatch.from_arrays([pa.array(key[first]), lines.take(pa.array(first, pa.int64()))], ["key", "line"])
-
-    return run
-
-
-def distance_bounds(a: str, b: str) -> tuple[int, int, str, str]:
-    """A lower and an upper bound of the edit distance, and the texts without common prefix and suffix, which have the same distance."""
-    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
-    n = min(len(x), len(y))
-    diff = np.flatnonzero(x[:n] != y[:n])
-    head = int(diff[0]) if len(diff) else n
-    n -= head
-    diff = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
-    tail = int(diff[0]) if len(diff) else n
-    ma, mb = a[head : len(a) - tail], b[head : len(b) - tail]
-    most = max(len(ma), len(mb))
-    return abs(len(ma) - len(mb)), most, ma, mb
-
-
-def word_bound(a: str, b: str) -> int:
-    """An upper bound of the edit distance from an alignment of whole words."""
+def distance_within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``: bit-parallel, a column of the table being two integers of any length."""
+    m, left = len(a), len(b)
+    if not m or not left:
+        return max(m, left) <= most
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    mask, top, pv, mv, score = (1 << m) - 1, 1 << (m - 1), (1 << m) - 1, 0, m
+    for i in range(0, left, 64):
+        for ch in b[i : i + 64]:
+            eq = at.get(ch, 0)
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | (mask & ~(xh | pv))
+            mh = pv & xh
+            if ph & top:
+                score += 1
+            elif mh & top:
+                score -= 1
+            ph = ph << 1 | 1
+            pv = (mh << 1 | (mask & ~(xv | ph))) & mask
+            mv = ph & xv & mask
+        if score - max(0, left - i - 64) > most:
+            return False
+    return score <= most
+
+
+def prefix_beyond(a: str, b: str, most: int) -> bool:
+    """Whether a prefix of a is further than ``most`` from every prefix of b, and with it a from b."""
+    p = 16 + most * 8 // 5
+    if min(len(a), len(b)) < 2 * p:
+        return False
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a[:p]):
+        at[ch] = at.get(ch, 0) | 1 << i
+    mask, top, pv, mv, score = (1 << p) - 1, 1 << (p - 1), (1 << p) - 1, 0, p
+    least = p
+    for ch in b[: p + most + 1]:
+        eq = at.get(ch, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (mask & ~(xh | pv))
+        mh = pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+            if score < least:
+                least = score
+        ph = ph << 1 | 1
+        pv = (mh << 1 | (mask & ~(xv | ph))) & mask
+        mv = ph & xv & mask
+    return least > most
+
+
+_STEPS = sorted(((i, j) for i in range(5) for j in range(5) if i or j), key=lambda s: (max(s), abs(s[0] - s[1])))
+
+
+def word_bound(a: str, b: str, most: int) -> int:
+    """An upper bound of the edit distance, from one alignment of whole words; beyond ``most`` it stops."""
     x, y = a.split(" "), b.split(" ")
-    total = 0
-    for tag, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-        if tag != "equal":
-            left, right = sum(map(len, x[i:j])) + j - i, sum(map(len, y[k:m])) + m - k
-            total += max(left, right)
-    return total
-
-
-def _bounds(similar: float):
-    """Decides pairs whose bounds decide them; leaves ``near`` null for the rest, with their middles."""
-
+    nx, ny, i, j, total = len(x), len(y), 0, 0, 0
+    while i < nx and j < ny:
+        if x[i] == y[j]:
+            i += 1
+            j += 1
+            continue
+        for di, dj in _STEPS:
+            if i + di < nx and j + dj < ny and x[i + di] == y[j + dj]:
+                break
+        else:
+            di, dj = nx - i, ny - j
+        total += max(sum(map(len, x[i : i + di])) + di, sum(map(len, y[j : j + dj])) + dj)
+        if total > most:
+            return total
+        i, j = i + di, j + dj
+    return total + max(sum(map(len, x[i:])) + nx - i, sum(map(len, y[j:])) + ny - j)
+
+
+def similar_lines(a: str, b: str, similar: float) -> bool:
+    """Whether the edit distance is at most 1 - similar of the longer line's length. Bounds decide most pairs before the distance itself."""
+    most = int((1 - similar) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    head, lo, hi = lo, 0, min(len(a), len(b)) - lo
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[len(a) - mid : len(a) - lo] == b[len(b) - mid : len(b) - lo]:
+            lo = mid
+        else:
+            hi = mid - 1
+    a, b = a[head : len(a) - lo], b[head : len(b) - lo]
+    if max(len(a), len(b)) <= most:
+        return True
+    if word_bound(a, b, most) <= most:
+        return True
+    return not prefix_beyond(a, b, most) and distance_within(a, b, most)
+
+
+def _verify(similar: float):
     def run(it):
-        for batch in it:
-            rows = []
-            for a, b in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist()):
-                most = int((1 - similar) * max(len(a), len(b)) + 1e-9)
-                low, high, ma, mb = distance_bounds(a, b)
-                near = False if low > most else True if high <= most else None
-                if near is None:
-                    counts = Counter(ma)
-                    counts.subtract(mb)
-                    left = list(counts.values())
-                    if max(sum(v for v in left if v > 0), -sum(v for v in left if v < 0)) > most:
-                        near = False
-                    elif word_bound(ma, mb) <= most:
-                        near = True
-                rows.append((near, None, None, most) if near is not None else (None, ma, mb, most))
-            near, ma, mb, most = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_()), pa.array(ma, pa.string()), pa.array(mb, pa.string()), pa.array(most, pa.int32())], ["a", "b", "near", "ma", "mb", "most"])
+        for b in it:
+            ok = [similar_lines(x, y, similar) for x, y in zip(b.column("la").to_pylist(), b.column("lb").to_pylist())]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _block(sim, k: int):
-    return F.shiftrightunsigned(F.shiftleft(sim, 64 - EDGES[k + 1]), 64 - EDGES[k + 1] + EDGES[k])
-
+def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = None, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``occurrences(doc_id, tie, line, key, n)`` and ``roots(node, root)`` of linked classes.
 
-def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = None, bands: int = 0, least: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
-    """``occurrences(doc_id, tie, line, key, sim, n)`` and ``roots(node, root)`` of linked classes.
-
-    Without ``bands`` candidates are those of the SimHash join alone; dedup always has them.
-    Lines of fewer than ``least`` characters take no part; under LEAST_CHARS they have no SimHash
-    candidates.
+    Lines whose normal form has fewer than ``least`` characters, or none, take no part.
     """
     spark = docs.sparkSession
     ship(spark)
     ws = ws or Workspace(spark, "lines")
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    seen = ws.table(source.mapInArrow(_lines(least), "doc_id long, tie long, line int, key long, sim long, n int"), "lines")
-    classes = ws.table(seen.groupBy("key").agg(F.min("sim").alias("sim"), F.min("n").alias("n")), "classes")
-    pairs_of = list(combinations(range(5), 2))
-    keys = [F.struct(F.lit(i).alias("t"), (F.shiftleft(_block(F.col("sim"), a), 13).bitwiseOR(_block(F.col("sim"), b))).alias("v")) for i, (a, b) in enumerate(pairs_of)]
-    blocks = classes.where(F.col("n") >= LEAST_CHARS).select("key", "sim", "n", F.explode(F.array(*keys)).alias("k")).select(F.col("k.t").alias("t"), F.col("k.v").alias("v"), "key", "sim", "n")
-    blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "t", "v")
-    x, y = (blocks.select("t", "v", *(F.col(c).alias(c + s) for c in ("key", "sim", "n"))) for s in "xy")
-    differ = F.col("simx").bitwiseXOR(F.col("simy"))
-    same = [_block(differ, k) == 0 for k in range(5)]
-    first = F.coalesce(*[F.when(same[a] & same[b], F.lit(i)) for i, (a, b) in enumerate(pairs_of)])
-    near = x.join(y, ["t", "v"]).where("keyx < keyy").where(F.bit_count(differ) <= BITS).where(F.col("t") == first).where(F.least("nx", "ny") >= F.lit(similar) * F.greatest("nx", "ny"))
-    near = near.select(F.col("keyx").alias("a"), F.col("keyy").alias("b"))
-    if bands and similar < 1:
-        found = source.mapInArrow(_bands(similar, least, bands), "v long, key long, n int")
-        found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "v").dropDuplicates(["v", "key"])
-        x, y = (found.select("v", *(F.col(c).alias(c + s) for c in ("key", "n"))) for s in "xy")
-        banded = x.join(y, "v").where("keyx < keyy").where(F.least("nx", "ny") >= F.lit(similar) * F.greatest("nx", "ny"))
-        near = near.unionByName(banded.select(F.col("keyx").alias("a"), F.col("keyy").alias("b"))).distinct()
-    pairs = ws.table(near, "pairs")
-    bits = spark.sparkContext.broadcast(bitmap_of(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a"))
-    text = source.mapInArrow(_texts(bits), "key long, line string").groupBy("key").agg(F.min("line").alias("line"))
-    text = ws.table(text, "texts")
-    both = pairs.join(text.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b")
-    bounded = both.select("a", "b", "la", "lb").mapInArrow(_bounds(similar), "a long, b long, near boolean, ma string, mb string, most int")
-    links = ws.table(bounded.where("near or near is null and levenshtein(ma, mb, most) between 0 and most").select("a", "b"), "links")
-    ws.drop("pairs", "texts", "classes")
-    return seen, connected_components(links, ws)
-
-
-def removed_lines(docs: DataFrame, similar: float = 0.9, least: int = LEAST_CHARS) -> tuple[DataFrame, Workspace]:
-    """``(doc_id, tie, removed array<int>)``: the lines of each document that repeat an earlier one of their group.
-
-    The first occurrence by (doc_id, hash of the text, line) stays. Groups are reduced with map-side
-    minima; occurrences then meet their group's first in an equi-join that AQE splits.
+    seen = ws.table(source.mapInArrow(_lines(least, similar), "doc_id long, tie long, line int, key long, n int, blocks array<long>, body string"), "lines")
+    blocks = seen.where("body is not null").select("key", "n", F.explode("blocks").alias("v"))
+    centres = blocks.groupBy("v").agg(F.min(F.struct("key", "n")).alias("c"), F.max("key").alias("last")).where("c.key < last").select("v", F.col("c.key").alias("ck"), F.col("c.n").alias("cn"))
+    # What the planner knows of the values' number is wrong by far; the join places its own shuffle and AQE splits hot values.
+    shared = ws.table(blocks.join(centres.hint("merge"), "v").distinct(), "shared")
+    needed = shared.select("key").distinct()
+    body = ws.table(seen.where("body is not null").select("key", "body").join(needed, "key", "left_semi").dropDuplicates(["key"]), "bodies")
+
+    def close(m: str, n: str):
+        return F.least(m, n) >= F.lit(similar) * F.greatest(m, n)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        la, lb = (body.select(F.col("key").alias(k), F.col("body").alias("l" + k)) for k in "ab")
+        return ws.table(pairs.join(la, "a").join(lb, "b").select("a", "b", "la", "lb").mapInArrow(_verify(similar), "a long, b long"), name)
+
+    stars = shared.where("key <> ck").where(close("n", "cn")).select(F.col("ck").alias("a"), F.col("key").alias("b")).distinct()
+    stars = ws.table(stars, "stars")
+    first = verified(stars, "first")
+    group = first.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("group"))
+    grouped = shared.join(group, "key", "left").select("v", "key", "n", F.coalesce("group", "key").alias("group"))
+    open_values = grouped.groupBy("v").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("v")
+    grouped = ws.table(grouped.join(open_values, "v", "left_semi"), "grouped")
+    x, y = (grouped.select("v", *(F.col(c).alias(c + s) for c in ("key", "n", "group"))) for s in "xy")
+    rest = x.join(y, "v").where("keyx < keyy and groupx <> groupy").where(close("nx", "ny")).select(F.col("keyx").alias("a"), F.col("keyy").alias("b")).distinct()
+    second = verified(rest.join(stars, ["a", "b"], "left_anti"), "second")
+    roots = connected_components(first.unionByName(second), ws)
+    ws.drop("shared", "bodies", "stars", "grouped")
+    return seen.select("doc_id", "tie", "line", "key", "n"), roots
+
+
+def removed_lines(docs: DataFrame, similar: float = 0.9, least: int = 1) -> DataFrame:
+    """``(_id, _tie, _removed array<int>)``: the lines of each document that repeat an earlier one of their group.
+
+    The first occurrence by (doc_id, hash of the text, line) stays; a null doc_id is first.
+    Groups are reduced with map-side minima; occurrences then meet their group's first in an
+    equi-join that AQE splits.
     """
     ws = Workspace(docs.sparkSession, "lines")
-    seen, roots = line_groups(docs, similar, ws, BANDS, least)
+    seen, roots = line_groups(docs, similar, ws, least)
     per_key = seen.groupBy("key").agg(F.min(F.struct("doc_id", "tie", "line")).alias("first"), F.count("*").alias("c"))
     rooted = per_key.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.sum("c").alias("total"))
-    info = rooted.join(least.where("total > 1"), "root").select("key", F.col("least.doc_id").alias("d0"), F.col("least.tie").alias("t0"), F.col("least.line").alias("l0"))
+    least_of = rooted.groupBy("root").agg(F.min("first").alias("least"), F.sum("c").alias("total"))
+    info = rooted.join(least_of.where("total > 1"), "root").select("key", F.col("least.doc_id").alias("d0"), F.col("least.tie").alias("t0"), F.col("least.line").alias("l0"))
     hit = seen.join(info, "key").where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("tie") == F.col("t0")) & (F.col("line") == F.col("l0"))))
-    return ws.table(hit.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed"), ws
+    return ws.table(hit.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.array_sort(F.collect_set("line")).alias("_removed")), "removed")
+
+
+def _with_removed(docs: DataFrame, similar: float, least: int) -> tuple[DataFrame, str]:
+    """docs with the lines to remove of each row, null where none, in a column whose name docs does not have."""
+    names = {c: free_name(docs, c) for c in ("_id", "_tie", "_removed", "_hash")}
+    removed = removed_lines(docs.select("doc_id", "text"), similar, least)
+    removed = removed.select(*(F.col(c).alias(names[c]) for c in removed.columns))
+    keyed = docs.withColumn(names["_hash"], F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(names["_id"])) & (F.col(names["_hash"]) == F.col(names["_tie"]))
+    return keyed.join(removed, same, "left"), names["_removed"]
+
 
+def _kept(removed: str):
+    return F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(removed, i)), "\n")
 
-def deduplicate_lines(docs: DataFrame, similar: float = 0.9, least: int = LEAST_CHARS) -> DataFrame:
+
+def deduplicate_lines(docs: DataFrame, similar: float = 0.9, least: int = 1) -> DataFrame:
     """The documents without their repeated lines, with the columns they had; n_chars, where there, follows the text.
 
     Lines are split at \\n and keep their order and bytes. Lines whose normal form has
     fewer than ``least`` characters, or none, always stay. Null and empty texts stay as they are,
     and documents that lose all lines stay with an empty text. Repeated rows (one doc_id,
     one text) count as one document and keep the same lines. Empty tables give no rows.
+    Other columns, whatever their names, stay as they are.
     """
-    removed, _ = removed_lines(docs, similar, least)
-    names = docs.columns
-    r = removed.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("removed").alias("_removed"))
-    joined = docs.withColumn("_t", F.xxhash64("text")).join(r, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tie")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    new = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
-    cols = [new.alias("text") if c == "text" else F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in names]
+    joined, removed = _with_removed(docs, similar, least)
+    kept, none = _kept(removed), F.col(removed).isNull()
+    cols = []
+    for c in docs.columns:
+        if c == "text":
+            cols.append(F.when(none, F.col("text")).otherwise(kept).alias("text"))
+        elif c == "n_chars":
+            cols.append(F.when(none, F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+        else:
+            cols.append(F.col(f"`{c}`"))
     return joined.select(*cols)
 
 
-def line_report(docs: DataFrame, similar: float = 0.9, least: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 (of the UTF-8 text left) per document; a null text counts as empty."""
-    removed, _ = removed_lines(docs, similar, least)
-    r = removed.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("removed").alias("_removed"))
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_t")).join(r, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tie")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n"))
-    return joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+def line_report(docs: DataFrame, similar: float = 0.9, least: int = 1) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 (of the UTF-8 text left) per row.
+
+    A null text counts as empty: one line, nothing removed. Repeated rows (one doc_id, one
+    text) are one document and report alike; a null doc_id comes first. An empty table gives
+    no rows; other columns are not read.
+    """
+    joined, removed = _with_removed(docs.select("doc_id", "text"), similar, least)
+    kept = F.when(F.col(removed).isNull(), F.coalesce("text", F.lit(""))).otherwise(_kept(removed))
+    return joined.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))

@@ -204,34 +204,69 @@ def test_lines(spark, docs, none, rows):
     line = "the quick brown fox jumps over the lazy dog and runs away from all the other animals in the wood"
     data = [(1, f"{line}\nshort\nunique line number one that nobody repeats"), (2, f"{line.upper()}!\nshort"), (3, line), (4, None), (5, "")]
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in data], "doc_id long, text string, n_chars long")
-    out = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(df).collect()}
+    out = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(df, least=20).collect()}
     assert out == {1: data[0][1], 2: "short", 3: "", 4: None, 5: ""}
+    out = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(df).collect()}
+    assert out == {1: data[0][1], 2: "", 3: "", 4: None, 5: ""}
     assert len(line_dedup.line_report(docs).collect()) == len(rows) and line_dedup.line_report(none).count() == 0
 
 
-def test_line_links_match_brute_force(spark):
+def distance(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            prev, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, prev + (x != y))
+    return d[-1]
+
+
+def normal(line):
+    return " ".join("".join(c if c.isalnum() else " " for c in line.lower()).split())
+
+
+def test_edit_similarity_is_exact():
+    rng = random.Random(2)
+    for _ in range(400):
+        x = [rng.choice(WORDS) for _ in range(rng.randrange(1, 40))]
+        y = list(x)
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randrange(2)] = [rng.choice(WORDS)] * rng.randrange(2)
+        a, b = " ".join(x), " ".join(y)
+        assert line_dedup.similar_lines(a, b, 0.9) == (distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9))
+
+
+def test_line_report_against_brute_force(spark):
+    """Links by edit similarity alone, over all pairs: recall of links at least 0.9, and nothing else is removed."""
     rng, lines = random.Random(3), []
-    for _ in range(60):
-        w = [rng.choice(WORDS) for _ in range(30)]
-        lines += [" ".join(w), " ".join(w[:-1] + [rng.choice(WORDS)]), " ".join(w + ["zz"])]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
-    seen, roots = line_dedup.line_groups(df)
-    info = {r.key: (r.sim & (2**64 - 1), lines[r.doc_id]) for r in seen.collect()}
-
-    def distance(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, d[0] = d[0], i
-            for j, y in enumerate(b, 1):
-                prev, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, prev + (x != y))
-        return d[-1]
-
-    names = {k: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for k, (_, t) in info.items()}
-    nodes = set()
-    for a, b in combinations(info, 2):
-        if bin(info[a][0] ^ info[b][0]).count("1") <= 3 and distance(names[a], names[b]) <= 0.1 * max(len(names[a]), len(names[b])):
-            nodes |= {a, b}
-    assert {r.node for r in roots.collect()} == nodes
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    for n in (6, 10, 20, 40, 60):
+        for _ in range(12):
+            w = [rng.choice(words) for _ in range(n)]
+            lines.append(" ".join(w))
+            for edits in range(1, 1 + max(1, n // 14)):
+                v = list(w)
+                for _ in range(edits):
+                    k = rng.randrange(len(v))
+                    v[k] = rng.choice([v[k][:-1] + "q", v[k] + "x", rng.choice(words)])
+                lines.append(", ".join(v))
+    rng.shuffle(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    names = [normal(x) for x in lines]
+    near = [(a, b) for a, b in combinations(range(len(lines)), 2) if min(len(names[a]), len(names[b])) >= 0.9 * max(len(names[a]), len(names[b])) and distance(names[a], names[b]) <= 0.1 * max(len(names[a]), len(names[b]))]
+    root = list(range(len(lines)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in near:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {a for a in range(len(lines)) if find(a) != a}
+    got = {r.doc_id for r in line_dedup.line_report(df).collect() if r.n_removed}
+    assert len(near) > 80 and got <= want and len(got) >= 0.9 * len(want)
 
 
 def test_line_dedup_finds_one_changed_word(spark):
