@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 CHUNK = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +72,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_powers: dict[int, np.ndarray] = {}
+KEPT = 6 << 20
+
+
 def power(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & _MASK, dtype=np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+    """The first n powers modulo 2**64; up to KEPT of them are kept for the next call."""
+    out = _powers.get(base)
+    if out is None or len(out) < n:
+        out = np.full(n, base & _MASK, dtype=np.uint64)
+        if n:
+            out[0] = 1
+            np.multiply.accumulate(out, out=out)
+        if n <= KEPT:
+            _powers[base] = out
+    return out[:n]
 
 
 def byte_table(seed: int) -> np.ndarray:
@@ -99,7 +109,7 @@ def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     n = len(values)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values * power(_BASE, n), dtype=np.uint64, out=sums[1:])
-    inverse = power(pow(_BASE, -1, 1 << 64), n + 1)
+    inverse = power(_INVERSE, n + 1)
     h = (sums[ends] - sums[starts]) * inverse[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 

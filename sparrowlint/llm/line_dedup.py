@@ -2,7 +2,8 @@
 
 Lines are normalised (lower case; runs of anything but letters and digits become one
 space). Equal normalised lines are one class. Two classes link when they share a block of
-their SimHash and their edit similarity is at least ``similar``.
+their SimHash, their SimHashes over all features differ in at most BITS of 64 bits, and their
+edit similarity is at least ``similar``.
 
 The SimHash is parted by feature. In a common one every feature sways every bit, so that
 one changed word of a line of 50 moves about five of 64 bits and no block scheme of useful
@@ -14,7 +15,7 @@ doubles with the length of the line, so that each holds SHARE to 2 * SHARE featu
 lines little above a step also have the blocks below it. The first BLOCKS of them count,
 and in lines of several blocks only those of three features or more, which chance seldom
 makes equal. Lines under SHORT characters have the hashes of their one-deletion variants
-too, which finds every pair one edit apart.
+too, which finds every pair one edit apart, whatever their SimHashes.
 
 Pairs are not all looked at. Every block value has a centre, its least class, and first all
 its classes are compared with that; what links to one centre is one group already. Then
@@ -30,29 +31,82 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowlint.llm.common import free_name, mix, rows_of, segment_hashes, signed, slices, string_hashes, texts, window_hashes, words
+from sparrowlint.llm.common import byte_table, free_name, mix, rows_of, segment_hashes, signed, slices, spread, string_hashes, texts, window_hashes
 from sparrowlint.llm.components import connected_components
 from sparrowlint.runtime import Workspace, ship
 
-SHARE, BLOCKS, FEW_WORDS, SHORT = 2.5, 12, 6, 30
+SHARE, BLOCKS, FEW_WORDS, SHORT, BITS = 2.5, 12, 6, 30, 20
 SEEN = 1 << 17
 _SPREAD = np.array([sum(((x >> j) & 1) << (8 * j) for j in range(8)) for x in range(256)], np.uint64)
 _ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
 
-def normal_lines(arr: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The normalised lines of all rows, words apart by single spaces, and row offsets."""
-    flat = pc.replace_substring_regex(pc.utf8_lower(arr), r"[^\p{L}\p{N}\n]+", " ")
-    lists = pc.split_pattern(flat, "\n")
-    off = lists.offsets.to_numpy().astype(np.int64)
-    return pc.ascii_trim_whitespace(lists.flatten()), off - off[0]
+_FOLD = np.full(256, 0x20, np.uint8)
+_FOLD[0x0A] = 0x0A
+_FOLD[0x80:] = np.arange(0x80, 0x100)
+for _a, _z, _to in ((0x30, 0x3A, 0x30), (0x61, 0x7B, 0x61), (0x41, 0x5B, 0x61)):
+    _FOLD[_a:_z] = np.arange(_to, _to + _z - _a)
 
 
-def line_keys(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit key of each line, the hashes of its words, and their offsets."""
-    codes, off, distinct = words(lines)
-    h = string_hashes(distinct)[codes]
-    return segment_hashes(h, off[:-1], off[1:]), h, off
+class Lines:
+    """The normalised lines of all rows: lower case, runs of letters and digits apart by single spaces.
+
+    offsets tell the lines of each row, words those of each line; hashes are of words, keys
+    of lines, lengths in characters. ASCII and Latin-1 letters are folded in numpy; rows
+    with other characters go through regular expressions first.
+    """
+
+    def __init__(self, arr: pa.Array):
+        off, raw = self._bytes(arr)
+        lead = np.append(False, raw[:-1] == 0xC3)
+        other = (raw >= 0x80) & (raw != 0xC3) & ~lead
+        if other.any():
+            slow = np.zeros(len(arr), bool)
+            slow[np.searchsorted(off, np.flatnonzero(other), side="right") - 1] = True
+            mask = pa.array(slow)
+            arr = pc.replace_with_mask(arr, mask, pc.replace_substring_regex(pc.utf8_lower(arr.filter(mask)), r"[^\p{L}\p{N}\n]+", " "))
+            off, raw = self._bytes(arr)
+            lead = np.append(False, raw[:-1] == 0xC3)
+        x = _FOLD[raw]
+        sign = lead & ((raw == 0x97) | (raw == 0xB7))
+        x[lead & (raw < 0x9F)] += 0x20
+        if sign.any():
+            at = np.flatnonzero(sign)
+            x[at] = x[at - 1] = 0x20
+        self.raw, inside = x, (x != 0x20) & (x != 0x0A)
+        first = np.zeros(len(x) + 1, bool)
+        first[off] = True
+        newline = np.flatnonzero(x == 0x0A)
+        self.begin = np.sort(np.concatenate([off[:-1], newline + 1]))
+        per_row = np.diff(np.searchsorted(newline, off)) + 1
+        self.offsets = np.append(0, np.cumsum(per_row))
+        before = np.append(False, inside[:-1]) & ~first[:-1]
+        self.start = np.flatnonzero(inside & ~before)
+        after = np.append(inside[1:], False) & ~first[1:]
+        end = np.flatnonzero(inside & ~after) + 1
+        line = np.searchsorted(self.begin, self.start, side="right") - 1
+        self.words = np.searchsorted(line, np.arange(len(self.begin) + 1))
+        self.hashes = segment_hashes(byte_table(1)[x], self.start, end)
+        self.keys = segment_hashes(self.hashes, self.words[:-1], self.words[1:])
+        chars = np.append(0, np.cumsum((x & 0xC0) != 0x80))
+        size = np.append(0, np.cumsum(chars[end] - chars[self.start] + 1))
+        self.lengths = np.maximum(size[self.words[1:]] - size[self.words[:-1]] - 1, 0)
+        self.inside = inside
+
+    @staticmethod
+    def _bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        off = np.frombuffer(arr.buffers()[1], np.int32, len(arr) + 1 + arr.offset)[arr.offset :].astype(np.int64)
+        data = arr.buffers()[2]
+        return off - off[0], (np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8))
+
+    def texts(self) -> pa.Array:
+        """The lines themselves."""
+        keep = self.inside.copy()
+        inner = np.ones(len(self.start), bool)
+        inner[self.words[:-1][np.diff(self.words) > 0]] = False
+        keep[self.start[inner] - 1] = True
+        at = np.append(0, np.cumsum(keep))[np.append(self.begin, len(keep))].astype(np.int32)
+        return pa.StringArray.from_buffers(len(self.begin), pa.py_buffer(at), pa.py_buffer(self.raw[keep].tobytes()))
 
 
 def simhash(f: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -72,14 +126,21 @@ def simhash(f: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_blocks(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(line, value)`` of every block of the lines, given the hashes of their words."""
+def line_blocks(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(line, value)`` of every block of the lines, given the hashes of their words, and the SimHash of all features of each line."""
     n = np.diff(off)
     row = rows_of(off)
     inside = row[1:] == row[:-1]
     few = (n <= FEW_WORDS)[row]
-    f = np.concatenate([window_hashes(h, 2)[inside], mix(h[few] + np.uint64(99))])
-    fr = np.concatenate([row[:-1][inside], row[few]])
+    f, fr = window_hashes(h, 2)[inside], row[:-1][inside]
+    if few.any():
+        f, fr = np.concatenate([f, mix(h[few] + np.uint64(99))]), np.concatenate([fr, row[few]])
+        order = np.argsort(fr, kind="stable")
+        f, fr = f[order], fr[order]
+    whole = np.zeros(len(n), np.uint64)
+    if len(f):
+        s = np.flatnonzero(np.append(True, fr[1:] != fr[:-1]))
+        whole[fr[s]] = simhash(f, s)
     m = np.bincount(fr, minlength=len(n))
     level = np.floor(np.log2(np.maximum(m / SHARE, 1))).astype(np.int64)
     near = (level > 0) & (m < 1.25 * SHARE * 2.0**level)
@@ -92,7 +153,7 @@ def line_blocks(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         parts.append((((fr[keep] * 2 + below) * 64 + lv[keep]) * BLOCKS + g[keep], f[keep]))
     cell, f = (np.concatenate(x) for x in zip(*parts))
     if not len(cell):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), whole
     order = np.argsort(cell)
     cell, f = cell[order], f[order]
     s = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
@@ -100,7 +161,7 @@ def line_blocks(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     line = cell // (128 * BLOCKS)
     keep = (count >= 3) | (level[line] < 2)
     value = mix(simhash(f, s) + (cell % (64 * BLOCKS)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return line[keep], value[keep]
+    return line[keep], value[keep], whole
 
 
 def _lines(least: int, similar: float):
@@ -111,9 +172,8 @@ def _lines(least: int, similar: float):
     def run(it):
         seen: set[int] = set()
         for b in slices(it, "text"):
-            lines, off = normal_lines(texts(b))
-            key, h, woff = line_keys(lines)
-            row, n = rows_of(off), pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = Lines(texts(b))
+            row, n, key = rows_of(x.offsets), x.lengths, x.keys
             _, first = np.unique(key, return_index=True)
             known = key[first].tolist()
             first = first[np.fromiter((k not in seen for k in known), bool, len(known)) & (n[first] >= max(1, least))]
@@ -121,24 +181,22 @@ def _lines(least: int, similar: float):
                 seen.clear()
             seen.update(key[first].tolist())
             first = np.sort(first)
-            at, value = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            at, value, sim = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(n), np.uint64)
+            lines = x.texts()
             if similar < 1 and len(first):
-                size = np.diff(woff)[first]
-                sub = np.append(0, np.cumsum(size))
-                own = h[np.arange(int(sub[-1])) + np.repeat(woff[:-1][first] - sub[:-1], size)]
-                at, value = line_blocks(own, sub)
+                size = np.diff(x.words)[first]
+                at, value, sim[first] = line_blocks(*spread(x.hashes, x.words[:-1][first], size))
                 at = first[at]
                 if len(short := first[(n[first] >= low) & (n[first] < SHORT)]):
-                    left = [list({x, *(x[:i] + x[i + 1 :] for i in range(len(x)))}) for x in lines.take(pa.array(short)).to_pylist()]
+                    left = [list({y, *(y[:i] + y[i + 1 :] for i in range(len(y)))}) for y in lines.take(pa.array(short)).to_pylist()]
                     at = np.concatenate([at, np.repeat(short, [len(ys) for ys in left])])
                     value = np.concatenate([value, string_hashes(pa.array([y for ys in left for y in ys], pa.string()), seed=3)])
             order = np.argsort(at, kind="stable")
-            per = np.bincount(at, minlength=len(lines))
-            is_first = np.zeros(len(lines), bool)
+            blocks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(at, minlength=len(n)))).astype(np.int32)), pa.array(signed(value[order])))
+            is_first = np.zeros(len(n), bool)
             is_first[first] = True
-            blocks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), pa.array(signed(value[order])))
             take = pa.array(row)
-            out = pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("tie").take(take), pa.array((np.arange(len(row)) - off[row]).astype(np.int32)), pa.array(signed(key)), pa.array(n.astype(np.int32)), blocks, pc.if_else(pa.array(is_first), lines, pa.scalar(None, pa.string()))], ["doc_id", "tie", "line", "key", "n", "blocks", "body"])
+            out = pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("tie").take(take), pa.array((np.arange(len(row)) - x.offsets[row]).astype(np.int32)), pa.array(signed(key)), pa.array(n.astype(np.int32)), pa.array(signed(sim)), blocks, pc.if_else(pa.array(is_first), lines, pa.scalar(None, pa.string()))], ["doc_id", "tie", "line", "key", "n", "sim", "blocks", "body"])
             yield out.filter(pa.array(n >= max(1, least)))
 
     return run
@@ -269,30 +327,35 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
     ship(spark)
     ws = ws or Workspace(spark, "lines")
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    seen = ws.table(source.mapInArrow(_lines(least, similar), "doc_id long, tie long, line int, key long, n int, blocks array<long>, body string"), "lines")
-    blocks = seen.where("body is not null").select("key", "n", F.explode("blocks").alias("v"))
-    centres = blocks.groupBy("v").agg(F.min(F.struct("key", "n")).alias("c"), F.max("key").alias("last")).where("c.key < last").select("v", F.col("c.key").alias("ck"), F.col("c.n").alias("cn"))
+    seen = ws.table(source.mapInArrow(_lines(least, similar), "doc_id long, tie long, line int, key long, n int, sim long, blocks array<long>, body string"), "lines")
+    blocks = seen.where("body is not null").select("key", "n", "sim", F.explode("blocks").alias("v"))
+    # A class's length and SimHash follow from its key, so its least row is one row.
+    centres = blocks.groupBy("v").agg(F.min("key").alias("ck"), F.max("key").alias("last")).where("ck < last").select("v", "ck")
     # What the planner knows of the values' number is wrong by far; the join places its own shuffle and AQE splits hot values.
     shared = ws.table(blocks.join(centres.hint("merge"), "v").distinct(), "shared")
     needed = shared.select("key").distinct()
     body = ws.table(seen.where("body is not null").select("key", "body").join(needed, "key", "left_semi").dropDuplicates(["key"]), "bodies")
 
-    def close(m: str, n: str):
-        return F.least(m, n) >= F.lit(similar) * F.greatest(m, n)
+    def close(a: str, b: str):
+        """Lengths and SimHashes of two classes that may link."""
+        m, n = F.col("n" + a), F.col("n" + b)
+        bits = F.bit_count(F.col("sim" + a).bitwiseXOR(F.col("sim" + b))) <= BITS
+        return (F.least(m, n) >= F.lit(similar) * F.greatest(m, n)) & (bits | (F.least(m, n) < SHORT))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         la, lb = (body.select(F.col("key").alias(k), F.col("body").alias("l" + k)) for k in "ab")
         return ws.table(pairs.join(la, "a").join(lb, "b").select("a", "b", "la", "lb").mapInArrow(_verify(similar), "a long, b long"), name)
 
-    stars = shared.where("key <> ck").where(close("n", "cn")).select(F.col("ck").alias("a"), F.col("key").alias("b")).distinct()
-    stars = ws.table(stars, "stars")
+    of = shared.select(F.col("key").alias("ck"), F.col("n").alias("nc"), F.col("sim").alias("simc")).distinct()
+    stars = shared.where("key <> ck").select("key", F.col("n").alias("nk"), F.col("sim").alias("simk"), "ck").distinct().join(of, "ck")
+    stars = ws.table(stars.where(close("c", "k")).select(F.col("ck").alias("a"), F.col("key").alias("b")), "stars")
     first = verified(stars, "first")
     group = first.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("group"))
-    grouped = shared.join(group, "key", "left").select("v", "key", "n", F.coalesce("group", "key").alias("group"))
+    grouped = shared.join(group, "key", "left").select("v", "key", "n", "sim", F.coalesce("group", "key").alias("group"))
     open_values = grouped.groupBy("v").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("v")
     grouped = ws.table(grouped.join(open_values, "v", "left_semi"), "grouped")
-    x, y = (grouped.select("v", *(F.col(c).alias(c + s) for c in ("key", "n", "group"))) for s in "xy")
-    rest = x.join(y, "v").where("keyx < keyy and groupx <> groupy").where(close("nx", "ny")).select(F.col("keyx").alias("a"), F.col("keyy").alias("b")).distinct()
+    x, y = (grouped.select("v", *(F.col(c).alias(c + s) for c in ("key", "n", "sim", "group"))) for s in "xy")
+    rest = x.join(y, "v").where("keyx < keyy and groupx <> groupy").where(close("x", "y")).select(F.col("keyx").alias("a"), F.col("keyy").alias("b")).distinct()
     second = verified(rest.join(stars, ["a", "b"], "left_anti"), "second")
     roots = connected_components(first.unionByName(second), ws)
     ws.drop("shared", "bodies", "stars", "grouped")

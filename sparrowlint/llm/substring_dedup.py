@@ -26,20 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowlint.llm.common import _BASE, bitmap_of, byte_table, in_bitmap, mix, power, signed, slices, texts
+from sparrowlint.llm.common import _BASE, _INVERSE, bitmap_of, byte_table, in_bitmap, mix, power, signed, slices, texts
 from sparrowlint.runtime import Workspace, ship
 
 L, K = 100, 48
 CHUNK = 1 << 21
 SHARD_BYTES, HOT = 1 << 20, 4096
-_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n + 1:
-        _powers[:] = [power(_BASE, n + 1), power(pow(_BASE, -1, 1 << 64), n + 1)]
-    return _powers[0][: n + 1], _powers[1][: n + 1]
-
 
 def runs(raw: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     """The runs of documents laid one after another: anchor, content, row, start in the row, number of windows."""
@@ -47,7 +39,7 @@ def runs(raw: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     none = np.zeros(0, np.int64)
     if n < L:
         return {"a": none, "r": none, "row": none, "s": none, "n": none, "at": none}
-    pw, inv = _pow(n)
+    pw, inv = power(_BASE, n + 1), power(_INVERSE, n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(byte_table(17)[raw] * pw[:n], dtype=np.uint64, out=sums[1:])
     grams = mix((sums[K:] - sums[:-K]) * inv[: n - K + 1])
