@@ -36,7 +36,7 @@ from sparrowlint.llm.components import connected_components
 from sparrowlint.runtime import Workspace, ship
 
 SHARE, BLOCKS, FEW_WORDS, SHORT, BITS = 2.5, 12, 6, 30, 20
-SEEN = 1 << 17
+SEEN, PAYS, STEP, PAIRS = 1 << 17, 16, 1 << 20, 1 << 16
 _SPREAD = np.array([sum(((x >> j) & 1) << (8 * j) for j in range(8)) for x in range(256)], np.uint64)
 _ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
@@ -115,9 +115,10 @@ def simhash(f: np.ndarray, starts: np.ndarray) -> np.ndarray:
     out = np.zeros(len(starts), np.uint64)
     half = np.minimum(n // 2 + 1, 127).astype(np.uint64) * _ONES
     raw = f.view(np.uint8).reshape(-1, 8)
+    planes = np.ascontiguousarray(raw.T)
     for k in range(8):
         # Eight counters of a byte each: a comparison sets the top bit of those that reach the half.
-        counts = np.add.reduceat(_SPREAD[raw[:, k]], starts)
+        counts = np.add.reduceat(_SPREAD[planes[k]], starts)
         up = (((counts | _TOPS) - half) & _TOPS) >> np.uint64(7)
         out |= ((up * np.uint64(0x0102040810204080)) >> np.uint64(56)) << np.uint64(8 * k)
     for i in np.flatnonzero(n > 127):
@@ -171,7 +172,7 @@ def _lines(least: int, similar: float):
 
     def run(it):
         seen: set[int] = set()
-        for b in slices(it, "text"):
+        for b in slices(it, "text", STEP):
             x = Lines(texts(b))
             row, n, key = rows_of(x.offsets), x.lengths, x.keys
             _, first = np.unique(key, return_index=True)
@@ -230,34 +231,6 @@ def distance_within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
-def prefix_beyond(a: str, b: str, most: int) -> bool:
-    """Whether a prefix of a is further than ``most`` from every prefix of b, and with it a from b."""
-    p = 16 + most * 8 // 5
-    if min(len(a), len(b)) < 2 * p:
-        return False
-    at: dict[str, int] = {}
-    for i, ch in enumerate(a[:p]):
-        at[ch] = at.get(ch, 0) | 1 << i
-    mask, top, pv, mv, score = (1 << p) - 1, 1 << (p - 1), (1 << p) - 1, 0, p
-    least = p
-    for ch in b[: p + most + 1]:
-        eq = at.get(ch, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | (mask & ~(xh | pv))
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-            if score < least:
-                least = score
-        ph = ph << 1 | 1
-        pv = (mh << 1 | (mask & ~(xv | ph))) & mask
-        mv = ph & xv & mask
-    return least > most
-
-
 _STEPS = sorted(((i, j) for i in range(5) for j in range(5) if i or j), key=lambda s: (max(s), abs(s[0] - s[1])))
 
 
@@ -282,11 +255,8 @@ def word_bound(a: str, b: str, most: int) -> int:
     return total + max(sum(map(len, x[i:])) + nx - i, sum(map(len, y[j:])) + ny - j)
 
 
-def similar_lines(a: str, b: str, similar: float) -> bool:
-    """Whether the edit distance is at most 1 - similar of the longer line's length. Bounds decide most pairs before the distance itself."""
-    most = int((1 - similar) * max(len(a), len(b)) + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """The texts without common prefix and suffix, which have the same edit distance."""
     lo, hi = 0, min(len(a), len(b))
     while lo < hi:
         mid = (lo + hi + 1) // 2
@@ -301,19 +271,112 @@ def similar_lines(a: str, b: str, similar: float) -> bool:
             lo = mid
         else:
             hi = mid - 1
-    a, b = a[head : len(a) - lo], b[head : len(b) - lo]
-    if max(len(a), len(b)) <= most:
-        return True
-    if word_bound(a, b, most) <= most:
-        return True
-    return not prefix_beyond(a, b, most) and distance_within(a, b, most)
+    return a[head : len(a) - lo], b[head : len(b) - lo]
+
+
+def many_within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """``distance_within`` of many pairs. Where enough have patterns of one width they go side by side: a column of all tables at once, 64 rows of each to a word."""
+    out = np.zeros(len(pairs), bool)
+    pairs = [(a, b, k) if len(a) <= len(b) else (b, a, k) for a, b, k in pairs]
+    wide = np.array([-(-len(a) // 64) for a, _, _ in pairs])
+    for w in np.unique(wide):
+        rows = np.flatnonzero(wide == w)
+        if not w or len(rows) < PAYS * w:
+            for i in rows:
+                out[i] = distance_within(*pairs[i])
+            continue
+        rows = rows[np.argsort([len(pairs[i][1]) for i in rows], kind="stable")]
+        step = max(PAYS * int(w), 8192 // int(w))
+        for x in range(0, len(rows), step):
+            out[rows[x : x + step]] = _side_by_side([pairs[i] for i in rows[x : x + step]], int(w))
+    return out
+
+
+def _side_by_side(pairs: list[tuple[str, str, int]], wide: int) -> np.ndarray:
+    m, n, most = (np.array(x, np.int64) for x in zip(*((len(a), len(b), k) for a, b, k in pairs)))
+    flat = np.frombuffer("".join(a + b for a, b, _ in pairs).encode("utf-32-le"), np.uint32)
+    _, code = np.unique(flat, return_inverse=True)
+    size = int(code.max()) + 1
+    begin = np.cumsum(m + n) - m - n
+    u = len(pairs)
+    pair = np.repeat(np.arange(u), m)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
+    cell = (pair * size + code[begin[pair] + at]) * wide + at // 64
+    order = np.argsort(cell, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
+    eqs = np.zeros(u * size * wide, np.uint64)
+    # The bits of a cell differ, so that their sum is their union.
+    eqs[cell[order][first]] = np.add.reduceat((np.uint64(1) << (at % 64).astype(np.uint64))[order], first)
+    eqs = eqs.reshape(u * size, wide)
+    one, top = np.uint64(1), np.uint64(63)
+    last = ((m - 1) % 64).astype(np.uint64)
+    pv = [np.full(u, ~np.uint64(0)) for _ in range(wide)]
+    mv = [np.zeros(u, np.uint64) for _ in range(wide)]
+    score, live, out = m.copy(), np.arange(u), np.zeros(u, bool)
+    for j in range(int(n.max())):
+        if j % 16 == 0:
+            done = n[live] <= j
+            out[live[done]] = score[done] <= most[live[done]]
+            keep = ~done & (score - (n[live] - j) <= most[live])
+            if not keep.all():
+                live, score, last = live[keep], score[keep], last[keep]
+                pv, mv = [x[keep] for x in pv], [x[keep] for x in mv]
+            if not len(live):
+                return out
+        going = n[live] > j
+        eq = eqs[live * size + code[np.minimum(begin[live] + m[live] + j, len(code) - 1)]]
+        up, down = np.ones(len(live), np.uint64), np.zeros(len(live), np.uint64)
+        for w in range(wide):
+            p, q, e = pv[w], mv[w], eq[:, w]
+            xv = e | q
+            e = e | down
+            xh = (((e & p) + p) ^ p) | e
+            ph, mh = q | ~(xh | p), p & xh
+            if w == wide - 1:
+                score += (((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)) * going
+            next_up, next_down = ph >> top, mh >> top
+            ph, mh = (ph << one) | up, (mh << one) | down
+            pv[w], mv[w] = mh | ~(xv | ph), ph & xv
+            up, down = next_up, next_down
+    out[live] = score <= most[live]
+    return out
+
+
+def similar_lines(pairs: list[tuple[str, str]], similar: float) -> np.ndarray:
+    """Of each pair whether the edit distance is at most 1 - similar of the longer line's length. Bounds decide most pairs before the distance itself."""
+    out, rest, where = np.zeros(len(pairs), bool), [], []
+    for i, (a, b) in enumerate(pairs):
+        most = int((1 - similar) * max(len(a), len(b)) + 1e-9)
+        if abs(len(a) - len(b)) > most:
+            continue
+        a, b = trimmed(a, b)
+        if max(len(a), len(b)) <= most or word_bound(a, b, most) <= most:
+            out[i] = True
+        else:
+            rest.append((a, b, most))
+            where.append(i)
+    if rest:
+        out[where] = many_within(rest)
+    return out
 
 
 def _verify(similar: float):
     def run(it):
+        held: list[pa.RecordBatch] = []
+
+        def decided():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ok = similar_lines(list(zip(rows.column("la").to_pylist(), rows.column("lb").to_pylist())), similar)
+            return rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).to_batches()
+
+        # Pairs are gathered up to PAIRS or 64 MB, as many of one width are compared at once.
         for b in it:
-            ok = [similar_lines(x, y, similar) for x, y in zip(b.column("la").to_pylist(), b.column("lb").to_pylist())]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            held.append(b)
+            if sum(x.num_rows for x in held) >= PAIRS or sum(x.nbytes for x in held) >= 64 << 20:
+                yield from decided()
+                held.clear()
+        if held:
+            yield from decided()
 
     return run
 

@@ -225,7 +225,7 @@ def normal(line):
 
 
 def test_edit_similarity_is_exact():
-    rng = random.Random(2)
+    rng, pairs = random.Random(2), []
     for _ in range(400):
         x = [rng.choice(WORDS) for _ in range(rng.randrange(1, 40))]
         y = list(x)
@@ -233,7 +233,11 @@ def test_edit_similarity_is_exact():
             k = rng.randrange(len(y) + 1)
             y[k : k + rng.randrange(2)] = [rng.choice(WORDS)] * rng.randrange(2)
         a, b = " ".join(x), " ".join(y)
-        assert line_dedup.similar_lines(a, b, 0.9) == (distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9))
+        pairs.append((a, b))
+    got = line_dedup.similar_lines(pairs, 0.9).tolist()
+    assert got == [distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9) for a, b in pairs] and 100 < sum(got) < 390
+    close = [(a, b, d + e) for a, b in pairs for d, e in ((distance(a, b), rng.choice([-1, 0, 1])),)]
+    assert line_dedup.many_within(close).tolist() == [distance(a, b) <= k for a, b, k in close]
 
 
 def test_line_report_against_brute_force(spark):
@@ -306,7 +310,8 @@ def test_nearest(spark):
     data = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000, None, 0), (1020, [0.0] * 16, 0), (1040, [float("nan")] * 16, 0), (1060, x[3].tolist(), 0), (1080, x[3].tolist(), 0)]
     df = spark.createDataFrame(pd.DataFrame(data, columns=["vec_id", "embedding", "score"]), "vec_id long, embedding array<float>, score int")
     got = {}
-    for r in ann.nearest(df).collect():
+    # All queries are calibrated on, so that with recall 1 the answer is exact.
+    for r in ann.nearest(df, recall=1.0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     ids, m = np.r_[np.arange(400), 1060, 1080], np.vstack([x, x[3], x[3]]).astype(float)
     for q, found in got.items():
