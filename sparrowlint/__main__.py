@@ -20,6 +20,7 @@ def main(argv: list[str]) -> int:
     p.add_argument("--config")
     p.add_argument("--format", choices=cfg.FORMATS)
     p.add_argument("--output")
+    p.add_argument("--output-folder", help="write rdjsonl or json entries as text files, a finding a line, without gathering them")
     try:
         args = p.parse_args(argv)
     except SystemExit as e:
@@ -38,6 +39,9 @@ def main(argv: list[str]) -> int:
         result = lint(read_files(spark, args.paths, config), config)
         for r in result.skipped.orderBy("file", "line").toLocalIterator():
             print(f"warning: {r.file}:{r.line}: skipped, {r.error}", file=sys.stderr)
+        if args.output_folder:
+            sinks.write_lines(result.findings, args.format if args.format in ("rdjsonl", "json") else "rdjsonl", args.output_folder)
+            return sinks.exit_code(result.findings)
         text = sinks.report(result.findings, args.format or config.format or "terminal", tag=config.tag)
         if args.output:
             sinks.write_text(args.output, text)

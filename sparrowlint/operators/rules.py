@@ -20,9 +20,21 @@ CONTEXTS = {"projection": "projection", "filter": "filter", "join": "join", "gro
 FINDING = ("rule_id", "severity", "message", "file", "line", "column", "end_line", "end_column", "sql")
 
 
+_NAMED = {7: "a", 8: "b", 9: "t", 10: "n", 11: "v", 12: "f", 13: "r", 34: '"', 92: "\\"}
+_HIDDEN = r"[\p{C}\p{Z}&&[^ ]]"
+
+
 def quoted(c: Column) -> Column:
-    """As a Go %q would write plain text."""
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    """As Go's %q: in double quotes, with its escapes for quotes, backslashes, control and other unprintable characters."""
+
+    def escaped(x: Column) -> Column:
+        code = F.ascii(x)
+        out = F.when(code < 128, F.format_string("\\x%02x", code)).when(code < 65536, F.format_string("\\u%04x", code)).otherwise(F.format_string("\\U%08x", code))
+        named = F.create_map(*[F.lit(v) for k, e in _NAMED.items() for v in (k, "\\" + e)])
+        return F.coalesce(named[code], F.when(x.rlike(_HIDDEN), out), x)
+
+    plain = ~c.rlike(r'[\\"]|' + _HIDDEN)
+    return F.concat(F.lit('"'), F.when(plain, c).otherwise(F.array_join(F.transform(F.split(c, ""), escaped), "")), F.lit('"'))
 
 
 def text(*parts) -> Column:

@@ -227,5 +227,3 @@ def migration_regex(patterns: list[str]) -> str:
         parts.append(glob_regex(p) if re.search(r"[*?\[]", p) else rf"^(?:.*/)?{re.escape(p.strip('/'))}(?:/.*)?$")
     return rf"(?=.*\.(?i:sql)$)(?:{'|'.join(parts)})"
 
-
-clean_path = _clean

@@ -29,12 +29,13 @@ class Result:
 def lint(files: DataFrame, config: Config | None = None, strict: bool = True) -> Result:
     """Findings of all rules over ``files(path, content)``.
 
-    Each file is read and parsed once; statements are written to the shared folder, and all
-    rules read them from there. With strict, an unreadable Go or Python file ends the run.
+    The files are read once, into the shared folder; each is then split and parsed once, and
+    all rules read its statements and models from there. With strict, an unreadable Go or
+    Python file ends the run.
     """
     config = config or Config()
     ws = Workspace(files.sparkSession, "lint")
-    files = src.usable_files(files, config)
+    files = ws.table(src.usable_files(files, config), "files")
     found = ws.table(src.statements(files, config), "statements")
     if strict and (bad := found.where("fatal").orderBy("file").select("file", "parsed.error").first()):
         raise ScanError(f"{bad.file}: {bad.error}")

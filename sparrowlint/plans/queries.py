@@ -32,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scanned(files: DataFrame, config: Config | None = None, parsed: bool = True) -> DataFrame:
+    config = config or Config()
+    return src.statements(src.usable_files(files, config), config, parsed)
+
+
+def modelled(files: DataFrame, config: Config | None = None) -> DataFrame:
+    config = config or Config()
+    return src.models(src.usable_files(files, config), config)
+
+
 # One statement per order, its kind given by the key
 
 TEMPLATES = [
@@ -56,7 +66,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings(spark: SparkSession, sf_dir: str, config: Config | None = None) -> DataFrame:
     config, files = config or Config(), corpus(spark, sf_dir)
-    return rules.query_findings(src.statements(files, config), src.directives(files, config), config)
+    return rules.query_findings(scanned(files, config), src.directives(files, config), config)
 
 
 SHORT = ("rule_id", "severity", "message", "file", "line")
@@ -149,7 +159,7 @@ def split_statements(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
     body = F.concat(F.lit("SELECT $d$"), F.replace(t, F.lit("$"), F.lit("")), F.lit("$d$; -- it's; a comment\nSELECT '"), F.replace(t, F.lit("'"), F.lit("''")), F.lit("'; /* ; "), F.regexp_replace(t, "[*/]", ""), F.lit(" */ UPDATE t SET a = 1"))
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".sql")).alias("path"), body.alias("content"))
-    return src.statements(files, Config()).select("file", "stmt_idx", "line", "end_line")
+    return scanned(files, parsed=False).select("file", "stmt_idx", "line", "end_line")
 
 
 @F.pandas_udf(StringType())
@@ -291,10 +301,11 @@ def finding_dedup(spark, sf_dir):
     return lint(_schema_files(spark, sf_dir), config).findings.groupBy("rule_id", "file").agg(F.count("*").alias("n"))
 
 
-@query("""select 's/' || c_custkey || '.sql' file, t.alias, t.tbl from customer, (values (5, 'u', 'users'), (5, 'users', 'users'), (5, 'o', 'orders'), (5, 'orders', 'orders')) t(m, alias, tbl) where c_custkey % 8 = m""")
+@query("""select 's/' || k || '.sql' file, replace(t.alias, '#', k) alias, replace(t.tbl, '#', k) tbl from (select c_custkey k from customer), (values
+    (0, 'users', 'users'), (1, 'users', 'users'), (2, 'users', 'users'), (3, 'users', 'users'), (3, 'orders', 'orders'), (4, 'users', 'users'), (4, 'ghost_#', 'ghost_#'), (4, 'g', 'ghost_#'),
+    (5, 'u', 'users'), (5, 'users', 'users'), (5, 'o', 'orders'), (5, 'orders', 'orders'), (6, 'q', 'q'), (7, 'users', 'users')) t(m, alias, tbl) where k % 8 = m""")
 def alias_resolution(spark, sf_dir):
-    files = _schema_files(spark, sf_dir).where(F.contains("content", F.lit("INNER JOIN")))
-    st = src.statements(files, Config()).select("file", F.posexplode("parsed.tables").alias("pos", "t"))
+    st = scanned(_schema_files(spark, sf_dir)).where("file like 's/%'").select("file", F.posexplode("parsed.tables").alias("pos", "t"))
     return st.select("file", F.explode("t.keys").alias("alias"), F.col("t.key").alias("tbl"), "pos").groupBy("file", "alias").agg(F.max_by("tbl", "pos").alias("tbl"))
 
 
@@ -308,7 +319,7 @@ def _ddl(spark, sf_dir):
     part = lambda cond, s: F.when(cond, F.replace(F.lit(s), F.lit("{k}"), k.cast("string"))).otherwise("")
     body = F.concat(part(F.lit(True), "CREATE TABLE A{k} (x int NOT NULL, y varchar(20) DEFAULT 'a');\n"), part(k % 2 == 0, "DROP TABLE a{k};\n"), part(k % 4 == 0, "CREATE TABLE IF NOT EXISTS public.a{k} (z bigserial PRIMARY KEY);\n"), part(k % 3 == 0, "ALTER TABLE a{k} ADD COLUMN W int;\n"), part(k % 5 == 0, "ALTER TABLE a{k} DROP COLUMN X;\n"))
     files = table(spark, sf_dir, "customer").select(F.concat(F.lit("migrations/"), k.cast("string"), F.lit(".sql")).alias("path"), body.alias("content"))
-    return rules.migration_snapshot(src.statements(files, Config(bare_add_column=False)), Config(bare_add_column=False))
+    return rules.migration_snapshot(scanned(files), Config(bare_add_column=False))
 
 
 @query(f"select 'a' || k table_key, case when again then 'a' else 'A' end || k table_name, 'migrations/' || k || '.sql' file, case when again then 3 else 1 end line from ({_DDL}) where alive")
@@ -367,7 +378,7 @@ for _r, (_s, _w, _m) in _DRIFT.items():
   from (select s_suppkey k from supplier), (values ('id'), ('name'), ('gone'), ('amount')) c(n)
   where k % 10 <> 8 and (c.n = 'id' or c.n = 'name' and k % 4 <> 1 or c.n = 'gone' and k % 5 = 0 or c.n = 'amount' and k % 6 = 0)""")
 def model_snapshot_merge(spark, sf_dir):
-    found = src.models(_drift_files(spark, sf_dir), Config(mapping_mode="balanced"))
+    found = modelled(_drift_files(spark, sf_dir), Config(mapping_mode="balanced"))
     return rules.model_snapshot(found)[1].select("source", "table_key", "col_key", "type")
 
 
@@ -375,7 +386,7 @@ def model_snapshot_merge(spark, sf_dir):
   from (select s_suppkey k from supplier), (values ('id', 'ID'), ('name', 'Name'), ('gone', 'Gone'), ('id', 'LegacyID'), ('amount', 'Amount')) c(n, f)
   where k % 10 <> 8 and (c.f = 'ID' or c.f = 'Name' and k % 4 <> 1 or c.f = 'Gone' and k % 5 = 0 or c.f = 'LegacyID' and k % 7 = 0 or c.f = 'Amount' and k % 6 = 0)""")
 def go_models(spark, sf_dir):
-    found = src.models(_drift_files(spark, sf_dir), Config(mapping_mode="balanced"))
+    found = modelled(_drift_files(spark, sf_dir), Config(mapping_mode="balanced"))
     return found.select("file", "table", "table_explicit", F.explode("columns").alias("c")).select("file", "table", "table_explicit", "c.name", "c.field", "c.kind")
 
 
@@ -392,7 +403,7 @@ def _supplier_file(spark, sf_dir, folder, ext, parts):
 def go_dbcall_extract(spark, sf_dir):
     yes, k = F.lit(True), F.col("s_suppkey")
     files = _supplier_file(spark, sf_dir, "g/", ".go", [(yes, 'package g\n\nimport "database/sql"\n\nfunc f(db *sql.DB) {\n\tdb.Query("SELECT * FROM t WHERE id = {k}", 1)\n'), (k % 2 == 0, "\tdb.ExecContext(ctx, `DELETE FROM t`)\n"), (yes, '\tdb.Exec("not sql {k}")\n\tdb.Query(q, "SELECT 1")\n}\n')])
-    return src.statements(files, Config()).select("file", "engine", "line", "sql")
+    return scanned(files, parsed=False).select("file", "engine", "line", "sql")
 
 
 @query(f"""select 'g/' || s_suppkey || '.go' file, 'goqu' engine, '/* {T}:synthetic goqu-ast */ SELECT id, name FROM t' || s_suppkey || ' LEFT JOIN o ON 1=1 WHERE email LIKE ''%x'' AND a = ' || s_suppkey || ' LIMIT 7' as sql from supplier
@@ -401,7 +412,7 @@ def go_dbcall_extract(spark, sf_dir):
 def goqu_extract(spark, sf_dir):
     yes, k = F.lit(True), F.col("s_suppkey")
     files = _supplier_file(spark, sf_dir, "g/", ".go", [(yes, 'package g\n\nimport gq "github.com/doug-martin/goqu/v9"\n\nfunc f() {\n\tgq.From("t{k}").Select("id", gq.C("name")).LeftJoin(gq.T("o"), gq.On(x)).Where(gq.C("email").Like("%x"), gq.Ex{"a": {k}}).Limit(7).ToSQL()\n'), (k % 3 == 0, '\tgq.Update("t").Where(gq.Or(a, b))\n'), (k % 2 == 0, '\tgq.L("DROP TABLE x{k}")\n'), (yes, "}\n")])
-    return src.statements(files, Config()).select("file", "engine", "sql")
+    return scanned(files, parsed=False).select("file", "engine", "sql")
 
 
 @query(f"""select 'p/' || s_suppkey || '.py' file, 2 line, '/* {T}:synthetic sqlalchemy-ast */ SELECT * FROM "users" WHERE "users"."email" LIKE ''%x' || s_suppkey || ''' LIMIT ' || s_suppkey as sql from supplier
@@ -412,14 +423,14 @@ def sqlalchemy_extract(spark, sf_dir):
     files = _supplier_file(spark, sf_dir, "p/", ".py", [(yes, "import sqlalchemy\nsession.query(User).filter(User.email.endswith('x{k}')).limit({k}).all()\n"), (k % 2 == 0, 'conn.execute(text("DELETE FROM t{k}"))\nsession.query(User).filter(or_ or (User.id == {k} or User.n != None)).delete()\n')])
     files = files.withColumn("content", F.replace("content", F.lit("or_ or "), F.lit("")))
     model = spark.createDataFrame([("p/models.py", "import sqlalchemy\nclass User(Base):\n    __tablename__ = 'users'\n")], "path string, content string")
-    return src.statements(files.unionByName(model), Config()).select("file", "line", "sql")
+    return scanned(files.unionByName(model), parsed=False).select("file", "line", "sql")
 
 
 @query("""select 'p/' || s_suppkey || '.py' file, 't' || s_suppkey "table", c.n name, c.t "type", c.l line from supplier, (values ('id', 'Integer', 3), ('mail', 'String(255)', 4), ('nick', 'str', 5)) c(n, t, l) where c.n <> 'nick' or s_suppkey % 2 = 0""")
 def sqlalchemy_models(spark, sf_dir):
     yes, k = F.lit(True), F.col("s_suppkey")
     files = _supplier_file(spark, sf_dir, "p/", ".py", [(yes, 'class A(Base):\n    __tablename__ = "t{k}"\n    id = Column(Integer, primary_key=True)\n    email = mapped_column("mail", String(255))\n'), (k % 2 == 0, "    nick: Mapped[str] = mapped_column()\n")])
-    return src.models(files, Config()).select("file", "table", F.explode("columns").alias("c")).select("file", "table", "c.name", "c.type", "c.line")
+    return modelled(files).select("file", "table", F.explode("columns").alias("c")).select("file", "table", "c.name", "c.type", "c.line")
 
 
 @query("select p_partkey k, case p_partkey % 7 when 0 then 'string' when 1 then 'integer' when 2 then 'float' when 3 then 'timestamp' when 4 then 'boolean' when 5 then null else 'integer' end canon from part")
@@ -427,3 +438,111 @@ def type_normalize(spark, sf_dir):
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(k.alias("k"), rules.canonical_type(filled(["String({k})", "*int64", "[]float64", "time.Time", "sql.NullBool", "Blob{k}", " BigInt "], k)).alias("canon"))
 
+
+
+# Files, engines and what falls back
+
+
+@query("select 'd/' || c_custkey || '.sql' file, count(*) n from customer group by 1")
+def file_dedup(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("d/"), k, F.lit(".sql")).alias("path"), F.concat(F.lit("SELECT "), k).alias("content"))
+    return scanned(files.unionByName(files), parsed=False).groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query("""select 'x/' || s_suppkey || e.ext file, e.engine, e.n from supplier, (values ('.sql', 'sql', 1), ('.SQL', 'sql', 1), ('.go', 'go', 1), ('.py', 'sqlalchemy', 1)) e(ext, engine, n)""")
+def scanner_selection(spark, sf_dir):
+    kinds = [(".sql", "SELECT {k}"), (".SQL", "SELECT {k}"), (".go", 'package g\n\nfunc f() {\n\tdb.Query("SELECT {k}")\n}\n'), (".py", 'import sqlalchemy\nconn.execute(text("SELECT {k}"))\n'), (".txt", "SELECT {k}"), (".GO", 'package g\n\nfunc f() {\n\tdb.Query("SELECT {k}")\n}\n'), ("", "SELECT {k}")]
+    k = F.col("s_suppkey").cast("string")
+    each = table(spark, sf_dir, "supplier").select(k.alias("k"), F.explode(F.array(*[F.struct(F.lit(e).alias("ext"), F.lit(c).alias("body")) for e, c in kinds])).alias("e"))
+    files = each.select(F.concat(F.lit("x/"), "k", "e.ext").alias("path"), F.replace("e.body", F.lit("{k}"), F.col("k")).alias("content"))
+    return scanned(files, parsed=False).groupBy("file", "engine").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""select 'e/' || c_custkey || '.sql' file, s.i stmt_idx, replace(s.t, '#', c_custkey) as sql from customer, (values (0, 'SELECT E''it\\''s; ' || chr(92) || chr(92) || '#'''), (1, 'SELECT ''back\\'''), (2, 'SELECT #')) s(i, t)""")
+def escape_strings(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    body = F.replace(F.lit("SELECT E'it\\'s; \\\\#'; SELECT 'back\\'; SELECT #;"), F.lit("#"), k)
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("e/"), k, F.lit(".sql")).alias("path"), body.alias("content"))
+    return scanned(files, parsed=False).select("file", "stmt_idx", "sql")
+
+
+@query("""select 'r/' || c_custkey || '.sql' file, 2 line, 1 "column", 4 end_line, 12 + length(c_custkey::varchar) end_column from customer""")
+def range_fill(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("r/"), k, F.lit(".sql")).alias("path"), F.concat(F.lit("\nUPDATE users\n\nSET score = "), k, F.lit(" ;\nSELECT 1")).alias("content"))
+    config = Config()
+    return rules.query_findings(scanned(files), src.directives(files, config), config).select("file", "line", "column", "end_line", "end_column")
+
+
+@query("""select 'g/' || s_suppkey || '.go' file, 'goqu query builder' origin from supplier union all
+  select 'p/' || s_suppkey || '.py', 'SQLAlchemy query builder' from supplier union all select 'q/' || s_suppkey || '.sql', 'synthetic query builder' from supplier union all select 'r/' || s_suppkey || '.sql', '' from supplier""")
+def origin_labels(spark, sf_dir):
+    yes = F.lit(True)
+    files = _supplier_file(spark, sf_dir, "g/", ".go", [(yes, 'package g\n\nimport gq "github.com/doug-martin/goqu/v9"\n\nfunc f() {\n\tgq.Delete("t{k}")\n}\n')])
+    files = files.unionByName(_supplier_file(spark, sf_dir, "p/", ".py", [(yes, "import sqlalchemy\nsession.query(User{k}).delete()\n")]))
+    files = files.unionByName(_supplier_file(spark, sf_dir, "q/", ".sql", [(yes, "/* other:synthetic some-builder */ DELETE FROM t{k}")])).unionByName(_supplier_file(spark, sf_dir, "r/", ".sql", [(yes, "DELETE FROM t{k}")]))
+    lines = sinks.rdjsonl_lines(rules.query_findings(scanned(files), src.directives(files, Config()), Config()))
+    message = F.get_json_object("text", "$.message")
+    return lines.select("file", F.regexp_extract(message, r"\| Origin: ([^|]*) \|", 1).alias("origin"))
+
+
+def _engine_files(spark, sf_dir):
+    yes, k = F.lit(True), F.col("s_suppkey")
+    files = _supplier_file(spark, sf_dir, "g/", ".go", [(yes, 'package g\n\nfunc f() {\n\tdb.Query("SELECT id FROM t{k} LIMIT 1")\n}\n')])
+    files = files.unionByName(_supplier_file(spark, sf_dir, "p/", ".py", [(yes, 'import sqlalchemy\nconn.execute(text("SELECT id FROM t{k} LIMIT 1"))\n')]))
+    files = files.unionByName(_supplier_file(spark, sf_dir, "q/", ".sql", [(yes, "SELECT id FROM t{k} LIMIT 1")]))
+    go = _supplier_file(spark, sf_dir, "m/", ".go", [(yes, 'package m\n\ntype T{k} struct {\n\tID int64 `db:"id"`\n}\n\nfunc (T{k}) TableName() string { return "t{k}" }\n')])
+    py = _supplier_file(spark, sf_dir, "o/", ".py", [(yes, "class T{k}(Base):\n    __tablename__ = 't{k}'\n    id = Column(Integer)\n")])
+    number = lambda c: F.regexp_extract(c, r"/(\d+)\.", 1).cast("long")
+    return files.unionByName(go.where(number("path") % 2 == 0)).unionByName(py.where(number("path") % 3 == 0))
+
+
+@query("select 'VG107' rule_id, 'g/' || s_suppkey || '.go' file from supplier where s_suppkey % 2 <> 0 union all select 'VG107', 'p/' || s_suppkey || '.py' from supplier where s_suppkey % 3 <> 0")
+def engine_snapshots(spark, sf_dir):
+    # Statements meet the models of their own engine only; plain SQL meets migrations, of which there are none.
+    config = Config(rules={r: RuleConfig(enabled=False) for r in RULES if r != "VG107"})
+    return lint(_engine_files(spark, sf_dir), config).findings.select("rule_id", "file")
+
+
+@query("select 'm/' || s_suppkey || '.go' file, 'go' source, 't' || s_suppkey \"table\" from supplier where s_suppkey % 2 = 0 union all select 'o/' || s_suppkey || '.py', 'sqlalchemy', 't' || s_suppkey from supplier where s_suppkey % 3 = 0")
+def models_of_both_sources(spark, sf_dir):
+    return modelled(_engine_files(spark, sf_dir)).select("file", "source", "table")
+
+
+@query("select 'a' || c_custkey table_key from customer union all select 'b' || c_custkey from customer where c_custkey % 2 = 0")
+def migration_fallback(spark, sf_dir):
+    k = F.col("c_custkey")
+    body = F.concat(F.lit("CREATE TABLE a"), k.cast("string"), F.lit(" (x int);"), F.when(k % 2 == 0, F.concat(F.lit("\nCREATE TABLE b"), k.cast("string"), F.lit(" (x int)"))).otherwise(""))
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("schema/"), k.cast("string"), F.lit(".sql")).alias("path"), body.alias("content"))
+    ws = Workspace(spark, "fallback")
+    found = ws.table(scanned(files), "statements")
+    return rules.migration_snapshot(rules.migration_statements(found, migration_regex([])), Config())[0].select("table_key")
+
+
+@query("select 'drift without models' kind, 0 n union all select 'drift without migrations', 0")
+def drift_guards(spark, sf_dir):
+    files, config = _drift_files(spark, sf_dir), Config(mapping_mode="balanced", rules={r: RuleConfig(enabled=RULES[r].kind == "drift") for r in RULES})
+    sides = (("drift without models", ".sql"), ("drift without migrations", ".go"))
+    counts = [lint(files.where(F.col("path").endswith(ext)), config).findings.agg(F.lit(kind).alias("kind"), F.count("*").cast("int").alias("n")) for kind, ext in sides]
+    return counts[0].unionByName(counts[1])
+
+
+@query("select 'p/' || s_suppkey || '.py' file, 2 line, 'SELECT ' || s_suppkey as sql from supplier")
+def statement_dedup(spark, sf_dir):
+    files = _supplier_file(spark, sf_dir, "p/", ".py", [(F.lit(True), 'import sqlalchemy\na(text("SELECT {k}")), b(text("SELECT {k}"))\n')])
+    return scanned(files, parsed=False).select("file", "line", "sql")
+
+
+@query(ORACLES["rdjsonl_sink"])
+def rdjsonl_files(spark, sf_dir):
+    ship_first(spark)
+    path = Workspace(spark, "report").at("rdjsonl")
+    sinks.write_lines(findings(spark, sf_dir, _SINK), "rdjsonl", path)
+    return spark.read.text(path).select(F.col("value").alias("text"))
+
+
+@query("""select p_partkey k, '"' || replace(replace(replace(replace(p_name, ' ', '\\t'), 'a', '\\"'), 'e', '\\x01'), 'o', '\\u200b') || p_partkey || '\\\\"' q from part""")
+def go_quoting(spark, sf_dir):
+    text = F.concat(F.replace(F.replace(F.replace(F.replace("p_name", F.lit(" "), F.lit("\t")), F.lit("a"), F.lit('"')), F.lit("e"), F.lit("\x01")), F.lit("o"), F.lit("​")), F.col("p_partkey").cast("string"), F.lit("\\"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), rules.quoted(text).alias("q"))

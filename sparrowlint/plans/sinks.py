@@ -7,7 +7,7 @@ import os
 import tempfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -79,9 +79,17 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.min(F.struct(*[c for c in ORDER if c != "rule_id"])).alias("first")).orderBy("first", "rule_id")
 
 
-def numbered(findings: DataFrame) -> DataFrame:
-    """With ``n``, the place in the report, within each file."""
-    return findings.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy(*ORDER)))
+LINES = {"terminal": terminal_lines, "rdjsonl": rdjsonl_lines, "json": json_entries, "sarif": sarif_results}
+
+
+def write_lines(findings: DataFrame, kind: str, path: str) -> None:
+    """Text files under ``path`` whose names give the report's order: a diagnostic a line, of any number of findings.
+
+    Rows are ordered by range partitions, so that no task and no driver holds the report;
+    a retried task replaces its own file.
+    """
+    ordered = LINES[kind](findings).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    ordered.select("text").write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def report(findings: DataFrame, kind: str, version: str = "", tag: str = NAME) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,9 +27,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; where that is unset a temporary one, on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,8 +51,9 @@ class Workspace:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.at(name))
+    def table(self, df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+        """The rows as read back; without dictionary the writer does not try one, for columns of values that hardly repeat."""
+        df.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, *names: str) -> None:
@@ -64,19 +65,3 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def local_path(path: str) -> str:
-    return path[7:] if path.startswith("file://") else path
-
-
-def atomic_write(path: str, data: bytes) -> None:
-    """Write beside the target, then rename: a retried task replaces the same bytes."""
-    tmp = f"{path}.{os.getpid()}.{uuid.uuid4().hex[:8]}.tmp"
-    with open(tmp, "wb") as f:
-        f.write(data)
-    os.replace(tmp, path)
-
-
-def remove_tree(path: str) -> None:
-    shutil.rmtree(local_path(path), ignore_errors=True)

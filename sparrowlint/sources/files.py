@@ -50,19 +50,28 @@ def extension(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, roots: list[str], config: Config) -> DataFrame:
-    """``(path, content)`` of the .sql, .go and .py files under the roots, skipped folders and excluded paths aside."""
-    raw = spark.read.text(list(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{sql,SQL,Sql,go,py}")
+    """``(path, content)`` of the .sql, .go and .py files under the roots, skipped folders and excluded paths aside.
+
+    Extensions are found in any case; scanners later take .sql in any, .go and .py in lower case only.
+    """
+    raw = spark.read.text(list(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{[sS][qQ][lL],[gG][oO],[pP][yY]}")
     files = raw.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.col("value").alias("content"))
     dirs = "|".join(re.escape(d) for d in SKIPPED_DIRS)
     return usable_files(files.where(~F.col("path").rlike(f"(^|/)({dirs})/")), config)
 
 
 def usable_files(files: DataFrame, config: Config) -> DataFrame:
-    """One row per path, without excluded ones."""
+    """One row per path, without excluded ones.
+
+    The one shuffle by path also spreads the files: scanning them is work for Python, of
+    which a scan of few row groups, or a shuffle coalesced by bytes, would use one core.
+    """
     out = files.select("path", "content").where("path is not null and content is not null")
     if pattern := exclude_regex(config.exclude):
         out = out.where(~F.col("path").rlike(pattern))
-    return out.dropDuplicates(["path"])
+    spark = files.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return out.repartition(parts, "path").dropDuplicates(["path"])
 
 
 def class_tables(files: DataFrame) -> DataFrame:
@@ -88,8 +97,8 @@ def class_tables(files: DataFrame) -> DataFrame:
     return used.join(named, "cls").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("cls", "tbl"))).alias("tables"))
 
 
-def statements(files: DataFrame, config: Config) -> DataFrame:
-    """All statements of the files with their parsed form. Unreadable files give one row with ``fatal``."""
+def statements(files: DataFrame, config: Config, parsed: bool = True) -> DataFrame:
+    """All statements of the files with their parsed form, or a null one where that is not asked for. Unreadable files give one row with ``fatal``."""
     ship(files.sparkSession)
     tag = config.tag
 
@@ -111,7 +120,7 @@ def statements(files: DataFrame, config: Config) -> DataFrame:
                     rows.append({"file": path, "engine": ext, "stmt_idx": 0, "fatal": True, "parsed": {"error": str(e)}})
                     continue
                 for k, (engine, sql, line, col, el, ec) in enumerate(found):
-                    rows.append({"file": path, "engine": engine, "stmt_idx": k, "sql": sql, "line": line, "column": col, "end_line": el, "end_column": ec, "fatal": False, "parsed": parsed_struct(sql)})
+                    rows.append({"file": path, "engine": engine, "stmt_idx": k, "sql": sql, "line": line, "column": col, "end_line": el, "end_column": ec, "fatal": False, "parsed": parsed_struct(sql) if parsed else None})
             yield pa.RecordBatch.from_pylist(rows, ARROW_STATEMENTS)
 
     with_tables = files.join(class_tables(files), "path", "left") if _has(files, ".py") else files.withColumn("tables", F.lit(None).cast("map<string,string>"))
