@@ -5,8 +5,8 @@ among the first n - ceil(t n) + 1 tokens of both sets under *any* total order. T
 order is rarest first, with rarity read from a sketch of fixed size that counts every
 document; it drives the candidate join, so a passage that many documents share takes
 part only where a document has little else. The candidates are then intersected with
-the prefix filters of further hashed orders, and what passes all of them is verified on
-the whole sets.
+the prefix filters of further hashed orders, for which only those prefixes, a tenth of
+the sets each, are fetched; whole sets are fetched and compared for what passes all.
 
 Equal sets are one class throughout: copies are counted, never paired.
 """
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowlint.llm.common import bitmap_of, in_bitmap, mix, rows_of, segment_hashes, signed, slices, string_hashes, texts, window_hashes, words
+from sparrowlint.llm.common import bitmap_of, free_name, in_bitmap, mix, rows_of, segment_hashes, signed, slices, string_hashes, texts, window_hashes, words
 from sparrowlint.llm.components import connected_components
 from sparrowlint.runtime import Workspace, ship
 
@@ -104,46 +104,49 @@ def _prefixes(k: int, t: int, sketch):
             order = np.lexsort((rank, row))
             w, pos = w[order], np.arange(len(w)) - off[:-1][row]
             keep = take[row] & (pos < (n - needed(n, t) + 1)[row])
-            r = row[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(w[keep])), pa.array(keys[r]), pa.array(n[r].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["tok", "cls", "n", "pos"])
+            classes = np.flatnonzero(take & (n > 0))
+            per = np.bincount(row[keep], minlength=len(keys))[classes]
+            toks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), pa.array(signed(w[keep])))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[classes]), pa.array(n[classes].astype(np.int32)), toks], ["cls", "n", "toks"])
 
     return run
 
 
-def _sets(k: int, bits):
+def _sets(k: int, t: int, bits):
+    """Whole sets of the classes wanted, and their prefixes under the hashed orders."""
+
+    def prefix(x: np.ndarray, seed: int) -> np.ndarray:
+        p = len(x) - needed(len(x), t) + 1
+        return signed(x[np.argpartition(mix(x ^ np.uint64(seed)), p - 1)[:p]] if p < len(x) else x)
+
     def run(it):
         seen: set[int] = set()
+        names = ["cls", "toks", *(f"p{i}" for i in range(len(ORDERS)))]
         for b in slices(it, "text"):
             w, off = shingle_sets(texts(b), k)
             keys = signed(set_keys(w, off))
-            take = [i for i in np.flatnonzero(in_bitmap(bits.value, keys) & (np.diff(off) > 0)) if keys[i] not in seen]
+            _, first = np.unique(keys, return_index=True)
+            take = [i for i in first[in_bitmap(bits.value, keys[first]) & (np.diff(off)[first] > 0)] if keys[i] not in seen]
             if len(seen) > SEEN:
                 seen.clear()
             seen.update(int(keys[i]) for i in take)
             if take:
-                yield pa.RecordBatch.from_arrays([pa.array(keys[take]), pa.array([signed(w[off[i] : off[i + 1]]) for i in take], pa.list_(pa.int64()))], ["cls", "toks"])
+                sets = [w[off[i] : off[i + 1]] for i in take]
+                lists = [[signed(x) for x in sets], *([prefix(x, s) for x in sets] for s in ORDERS)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[take]), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names)
 
     return run
 
 
 def _verify(t: int):
-    def prefix(x: np.ndarray, seed: int) -> np.ndarray:
-        m = mix(x ^ np.uint64(seed))
-        p = len(x) - needed(len(x), t) + 1
-        return np.partition(m, p - 1)[:p] if p < len(m) else m
-
     def run(it):
         for b in it:
             keep = []
             left, right = b.column("ta"), b.column("tb")
             for i in range(b.num_rows):
-                x = left[i].values.to_numpy().view(np.uint64)
-                y = right[i].values.to_numpy().view(np.uint64)
-                if all(len(np.intersect1d(prefix(x, s), prefix(y, s))) for s in ORDERS):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= t * (len(x) + len(y) - both))
-                else:
-                    keep.append(False)
+                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= t * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -165,18 +168,26 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 90, ws: Workspace |
         sketch[row.slot << _SLOT_BITS : (row.slot + 1) << _SLOT_BITS] = np.frombuffer(row.counts, np.int64)
     shared = spark.sparkContext.broadcast(np.minimum(sketch, (1 << 31) - 1).astype(np.int32))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posts = docs.mapInArrow(_prefixes(k, percent, shared), "tok long, cls long, n int, pos int").repartition(parts, "tok").dropDuplicates(["tok", "cls"])
+    # Classes that several tasks met become one row each before their tokens part; the join places its own shuffle, so that AQE splits a hot token.
+    posts = docs.mapInArrow(_prefixes(k, percent, shared), "cls long, n int, toks array<long>").dropDuplicates(["cls"])
+    posts = ws.table(posts, "posts").select("cls", "n", F.posexplode("toks").alias("pos", "tok"))
     x, y = (posts.select("tok", *(F.col(c).alias(c + s) for c in ("cls", "n", "pos"))) for s in "xy")
     possible = (100 + percent) * (1 + F.least(F.expr("nx - posx"), F.expr("ny - posy")) - 1) >= percent * (F.col("nx") + F.col("ny"))
     pairs = x.join(y, "tok").where("clsx < clsy").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).where(possible)
     pairs = ws.table(pairs.select(F.col("clsx").alias("a"), F.col("clsy").alias("b")).distinct(), "pairs")
     bits = spark.sparkContext.broadcast(bitmap_of(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a"))
-    sets = docs.mapInArrow(_sets(k, bits), "cls long, toks array<long>").groupBy("cls").agg(F.first("toks").alias("toks"))
+    orders = [f"p{i}" for i in range(len(ORDERS))]
+    sets = docs.mapInArrow(_sets(k, percent, bits), "cls long, toks array<long>, " + ", ".join(f"{p} array<long>" for p in orders)).dropDuplicates(["cls"])
     sets = ws.table(sets, "sets")
-    joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("toks").alias("tb")), "b")
-    links = ws.table(joined.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), "links")
-    ws.drop("pairs", "sets")
+
+    def fetched(df: DataFrame, cols: list[str]) -> DataFrame:
+        one, two = (sets.select(F.col("cls").alias(k), *(F.col(c).alias(c + k) for c in cols)) for k in "ab")
+        return df.join(one, "a").join(two, "b")
+
+    passed = ws.table(fetched(pairs, orders).where(" and ".join(f"arrays_overlap({p}a, {p}b)" for p in orders)).select("a", "b"), "passed")
+    joined = fetched(passed, ["toks"]).select("a", "b", F.col("toksa").alias("ta"), F.col("toksb").alias("tb"))
+    links = ws.table(joined.mapInArrow(_verify(percent), "a long, b long"), "links")
+    ws.drop("posts", "pairs", "passed", "sets")
     return described, links
 
 
@@ -213,19 +224,22 @@ def keep_one_per_group(docs: DataFrame, k: int = 5, percent: int = 90) -> DataFr
 
     A null doc_id comes last; of rows with one doc_id the one whose text has the least hash
     stays, and of repeated rows one. Rows of different components all stay, whether or not
-    they share a doc_id or have none. Rows with an empty set stay. All columns of docs are kept.
+    they share a doc_id or have none. Rows with an empty set stay: null, empty and blank
+    texts. An empty table gives no rows. All columns of docs, whatever their names, are kept.
     """
     ws = Workspace(docs.sparkSession, "onepergroup")
-    described, links = similar_sets(docs, k, percent, ws)
+    described, links = similar_sets(docs.select("doc_id", "text"), k, percent, ws)
     full = described.where("n > 0")
     classes = full.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"))
     rooted = classes.join(connected_components(links, ws).withColumnRenamed("node", "cls"), "cls", "left")
     least = rooted.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first"))
-    stay = least.select(F.col("first.doc_id").alias("_keep"), F.col("first.tie").alias("_tie"), F.lit(True).alias("_full"))
-    stay = ws.table(stay.unionByName(described.where("n = 0").select(F.col("doc_id").alias("_keep"), F.col("tie").alias("_tie"), F.lit(False).alias("_full")).distinct()), "stay")
-    kept = docs.withColumn("_t", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_t") == F.col("_tie")))
+    keep, tie, whole, key, rank = (free_name(docs, c) for c in ("_keep", "_tie", "_whole", "_key", "_rank"))
+    stay = least.select(F.col("first.doc_id").alias(keep), F.col("first.tie").alias(tie), F.lit(True).alias(whole))
+    stay = ws.table(stay.unionByName(described.where("n = 0").select(F.col("doc_id").alias(keep), F.col("tie").alias(tie), F.lit(False).alias(whole)).distinct()), "stay")
+    kept = docs.withColumn(key, F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col(keep)) & (F.col(key) == F.col(tie)))
+    names = [F.col(f"`{c}`") for c in docs.columns]
     if not full.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
-        w = Window.partitionBy("_keep", "_tie").orderBy("_t")
-        once = kept.where("_full").withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
-        return once.select(*docs.columns).unionByName(kept.where("not _full").select(*docs.columns))
-    return kept.select(*docs.columns)
+        w = Window.partitionBy(keep, tie).orderBy(key)
+        once = kept.where(F.col(whole)).withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1)
+        return once.select(*names).unionByName(kept.where(~F.col(whole)).select(*names))
+    return kept.select(*names)
