@@ -13,8 +13,12 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pf
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +55,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     resolved, changed (validators differ), unverified (none to compare), missing (no earlier
     response, or a null or empty uri, ts or record_id). Only resolved rows have resolved_id and the
     response's headers, overwritten with the permitted ones of the revisit. Repeated rows
-    are resolved each; other columns are dropped.
+    are resolved each, and rows that share nothing but their record_id each for itself; of
+    responses alike but for their headers the least headers, as text, count. Empty tables
+    give no rows; other columns are dropped.
     """
     r = records.select("record_id", "kind", "uri", "ts", "headers", "digest").withColumn("url", canonical_url(F.col("uri")))
     usable = F.col("record_id").isNotNull() & F.col("ts").isNotNull() & F.col("url").isNotNull() & (F.col("url") != "")
@@ -70,13 +76,20 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     for mine, theirs in (("etag", "c.etag"), ("modified", "c.modified"), ("digest", "c.digest")):
         both = F.col(mine).isNotNull() & F.col(theirs).isNotNull()
         agree = agree.when(both & (F.col(mine) == F.col(theirs)), "resolved").when(both, "changed")
-    judged = met.select("record_id", agree.otherwise("unverified").alias("outcome"), F.col("c.record_id").alias("found")).dropDuplicates(["record_id"])
-    mine = r.where(F.col("kind") == "revisit").join(judged, "record_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("missing"))).withColumn("resolved_id", F.when(F.col("outcome") == "resolved", F.col("found")))
-    stored = r.where((F.col("kind") == "response") & usable).groupBy(F.col("record_id").alias("resolved_id")).agg(F.first("headers").alias("stored"))
+    # A record id may stand for several records: all that decides is part of the key.
+    same = ("record_id", "url", "ts", "etag", "modified", "digest")
+    judged = met.select(*(F.col(c).alias("_" + c) for c in same), agree.otherwise("unverified").alias("outcome"), "c").distinct()
+    revisits = r.where(F.col("kind") == "revisit").withColumn("etag", _etag(F.col("headers"))).withColumn("modified", F.col("headers")["last-modified"])
+    equal = (F.col("record_id") == F.col("_record_id")) & (F.col("url") == F.col("_url")) & (F.col("ts") == F.col("_ts"))
+    for c in same[3:]:
+        equal = equal & F.col(c).eqNullSafe(F.col("_" + c))
+    mine = revisits.join(judged, equal, "left").withColumn("outcome", F.coalesce("outcome", F.lit("missing"))).withColumn("resolved_id", F.when(F.col("outcome") == "resolved", F.col("c.record_id")))
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), "\n")
+    stored = r.where((F.col("kind") == "response") & usable).groupBy(F.col("url").alias("_u"), key.alias("_c")).agg(F.min_by("headers", listed).alias("stored"))
     sent = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("stored", lambda k, v: ~F.array_contains(F.map_keys(sent), k)), sent)
     # Unresolved rows have no partner and skip the join, so that no null key gathers them.
-    done = mine.where("resolved_id is not null").join(stored, "resolved_id", "left").select("record_id", "url", "kind", "outcome", "resolved_id", merged.alias("merged"))
+    done = mine.where("resolved_id is not null").join(stored, (F.col("url") == F.col("_u")) & F.col("c").eqNullSafe(F.col("_c")), "left").select("record_id", "url", "kind", "outcome", "resolved_id", merged.alias("merged"))
     none = F.lit(None).cast("map<string,string>")
     rest = mine.where("resolved_id is null").select("record_id", "url", "kind", "outcome", "resolved_id", none.alias("merged"))
     own = r.where(F.col("kind") == "response").select("record_id", "url", "kind", F.lit("full").alias("outcome"), F.col("record_id").alias("resolved_id"), F.col("headers").alias("merged"))
@@ -89,35 +102,91 @@ def write_record(kind: str, record_id: str, uri: str, date: str, http: bytes, ex
     return gzip.compress(b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + http + b"\r\n\r\n", mtime=0)
 
 
-def parse(data: bytes) -> list[dict]:
-    """The response and revisit records of a file, compressed per record or plain. Broken tails end the list."""
-    if data[:2] == b"\x1f\x8b":
+STEP, LINE = 1 << 16, 1 << 20
+
+
+class _Source:
+    """Bytes of a WARC file from a stream: of all its gzip members, or as they are. A broken member ends them."""
+
+    def __init__(self, raw):
+        head = raw.read(2)
+        whole = _Joined(head, raw)
+        self.stream = gzip.GzipFile(fileobj=whole) if head == b"\x1f\x8b" else whole
+        self.ahead = b""
+
+    def more(self) -> bool:
         try:
-            data = gzip.decompress(data)
-        except (EOFError, OSError):
-            with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
-                parts = []
-                try:
-                    while part := f.read(1 << 16):
-                        parts.append(part)
-                except (EOFError, OSError):
-                    pass
-                data = b"".join(parts)
-    out, at = [], 0
-    while (begin := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", begin)
+            part = self.stream.read(STEP)
+        except (EOFError, OSError, zlib.error):
+            part = b""
+        self.ahead += part
+        return bool(part)
+
+    def until(self, mark: bytes, most: int) -> int:
+        """Where the mark begins in what lies ahead, or -1 at the end or beyond ``most`` bytes."""
+        begin = 0
+        while (at := self.ahead.find(mark, begin)) < 0:
+            begin = max(0, len(self.ahead) - len(mark) + 1)
+            if len(self.ahead) > most or not self.more():
+                return -1
+        return at
+
+    def take(self, n: int) -> bytes | None:
+        """The next n bytes, or None if there are fewer."""
+        parts, left = [self.ahead[:n]], n - len(self.ahead)
+        self.ahead = self.ahead[n:]
+        while left > 0:
+            try:
+                part = self.stream.read(min(left, 16 * STEP))
+            except (EOFError, OSError, zlib.error):
+                part = b""
+            if not part:
+                return None
+            parts.append(part)
+            left -= len(part)
+        return b"".join(parts)
+
+
+class _Joined(io.RawIOBase):
+    """A stream with its first bytes put back."""
+
+    def __init__(self, head: bytes, rest):
+        self.head, self.rest = head, rest
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        if self.head:
+            out, self.head = (self.head, b"") if n < 0 else (self.head[:n], self.head[n:])
+            return out
+        return self.rest.read(n if n >= 0 else STEP)
+
+
+def records(raw) -> Iterator[dict]:
+    """The response and revisit records of a stream, compressed per record or plain, one at a time. Broken tails end the stream; what stands between records is skipped."""
+    src = _Source(raw)
+    while True:
+        while (begin := src.ahead.find(b"WARC/1.")) < 0:
+            src.ahead = src.ahead[-6:]
+            if not src.more():
+                return
+        src.ahead = src.ahead[begin:]
+        end = src.until(b"\r\n\r\n", LINE)
         if end < 0:
-            break
-        head = _headers(data[begin:end])
-        size = int(head.get("content-length", "0")) if head.get("content-length", "0").isdigit() else 0
-        if end + 4 + size > len(data):
-            break
-        body = data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+            return
+        head = _headers(src.take(end + 4)[:end])
+        size = head.get("content-length", "0")
+        body = src.take(int(size) if size.isdigit() else 0)
+        if body is None:
+            return
         if head.get("warc-type") in ("response", "revisit"):
             http, _, payload = body.partition(b"\r\n\r\n")
-            out.append({"record_id": head.get("warc-record-id", "").strip("<>"), "kind": head["warc-type"], "uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "status": http.split(b" ")[1].decode("latin-1") if http.count(b" ") else None, "headers": list(_headers(http).items()), "digest": head.get("warc-payload-digest"), "payload": payload if head["warc-type"] == "response" else None})
-    return out
+            yield {"record_id": head.get("warc-record-id", "").strip("<>"), "kind": head["warc-type"], "uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "status": http.split(b" ")[1].decode("latin-1") if http.count(b" ") else None, "headers": list(_headers(http).items()), "digest": head.get("warc-payload-digest"), "payload": payload if head["warc-type"] == "response" else None}
+
+
+def parse(data: bytes) -> list[dict]:
+    return list(records(io.BytesIO(data)))
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -128,19 +197,36 @@ def _headers(block: bytes) -> dict[str, str]:
 PARSED = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("status", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("payload", pa.binary())])
 
 
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of the files at ``path``, one task per group of files; ts is the date in seconds."""
+    """The response and revisit records of the files at ``path``; ts is the date in seconds.
+
+    A task streams its files, so that neither a file nor its records are in memory at once,
+    only one record and a batch of bounded size. A file that breaks off gives the records
+    before the break; an empty or foreign file gives none; a date that is none gives a null
+    ts, and records without a payload a null payload.
+    """
     ship(spark)
 
     def run(it):
         for b in it:
-            for content in b.column("content"):
-                rows = parse(content.as_py())
+            for place in b.column("path").to_pylist():
+                fs, name = pf.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", place))
+                rows, size = [], 0
+                with fs.open_input_stream(name, compression=None) as raw:
+                    for r in records(raw):
+                        rows.append(r)
+                        size += len(r["payload"] or b"")
+                        if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, PARSED)
+                            rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, PARSED)
 
     schema = "record_id string, kind string, uri string, date string, status string, headers map<string,string>, digest string, payload binary"
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema).withColumn("ts", F.unix_timestamp(F.to_timestamp("date")))
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, schema).withColumn("ts", F.unix_timestamp(F.try_to_timestamp("date")))
 
 
 def captures(pages: DataFrame) -> DataFrame:
