@@ -165,7 +165,9 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose language is found with a score of at least ``least``; lang becomes the prediction.
 
-    Columns and their order stay as they are.
+    Null and empty texts and those without a letter go. Repeated rows are judged each, a null
+    doc_id like any other; with no labelled rows nothing is identified and all go; an empty
+    table gives no rows. Other columns, whatever their names, and their order stay as they are.
     """
     spark = docs.sparkSession
     ship(spark)
