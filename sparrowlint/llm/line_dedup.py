@@ -36,7 +36,7 @@ from sparrowlint.llm.components import connected_components
 from sparrowlint.runtime import Workspace, ship
 
 SHARE, BLOCKS, FEW_WORDS, SHORT, BITS = 2.5, 12, 6, 30, 20
-SEEN, PAYS, STEP, PAIRS = 1 << 17, 16, 1 << 20, 1 << 16
+SEEN, PAYS, STEP, PAIRS, CELLS = 1 << 17, 16, 1 << 20, 1 << 16, 1 << 23
 _SPREAD = np.array([sum(((x >> j) & 1) << (8 * j) for j in range(8)) for x in range(256)], np.uint64)
 _ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
@@ -281,24 +281,31 @@ def many_within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
     wide = np.array([-(-len(a) // 64) for a, _, _ in pairs])
     for w in np.unique(wide):
         rows = np.flatnonzero(wide == w)
-        if not w or len(rows) < PAYS * w:
+        band = min(int(w), 2 + max(pairs[i][2] for i in rows) // 32)
+        if not w or len(rows) < PAYS * band:
             for i in rows:
                 out[i] = distance_within(*pairs[i])
             continue
         rows = rows[np.argsort([len(pairs[i][1]) for i in rows], kind="stable")]
-        step = max(PAYS * int(w), 8192 // int(w))
+        step = max(PAYS * band, 8192 // band)
         for x in range(0, len(rows), step):
             out[rows[x : x + step]] = _side_by_side([pairs[i] for i in rows[x : x + step]], int(w))
     return out
 
 
 def _side_by_side(pairs: list[tuple[str, str, int]], wide: int) -> np.ndarray:
+    """Only words that hold rows within ``most`` of the diagonal are computed: what they take for the rest is no less, so distances up to ``most`` are exact."""
     m, n, most = (np.array(x, np.int64) for x in zip(*((len(a), len(b), k) for a, b, k in pairs)))
     flat = np.frombuffer("".join(a + b for a, b, _ in pairs).encode("utf-32-le"), np.uint32)
     _, code = np.unique(flat, return_inverse=True)
     size = int(code.max()) + 1
     begin = np.cumsum(m + n) - m - n
     u = len(pairs)
+    if u * size * wide > CELLS:
+        # Many different characters: fewer pairs at once.
+        if u <= PAYS:
+            return np.array([distance_within(*p) for p in pairs])
+        return np.concatenate([_side_by_side(pairs[: u // 2], wide), _side_by_side(pairs[u // 2 :], wide)])
     pair = np.repeat(np.arange(u), m)
     at = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
     cell = (pair * size + code[begin[pair] + at]) * wide + at // 64
@@ -309,30 +316,39 @@ def _side_by_side(pairs: list[tuple[str, str, int]], wide: int) -> np.ndarray:
     eqs[cell[order][first]] = np.add.reduceat((np.uint64(1) << (at % 64).astype(np.uint64))[order], first)
     eqs = eqs.reshape(u * size, wide)
     one, top = np.uint64(1), np.uint64(63)
-    last = ((m - 1) % 64).astype(np.uint64)
+    ends = ((m - 1) % 64).astype(np.uint64)
     pv = [np.full(u, ~np.uint64(0)) for _ in range(wide)]
     mv = [np.zeros(u, np.uint64) for _ in range(wide)]
-    score, live, out = m.copy(), np.arange(u), np.zeros(u, bool)
+    live, out = np.arange(u), np.zeros(u, bool)
+    reach = int(most.max())
+    low = min(wide - 1, reach // 64)
+    # The value in the last row of the lowest word computed.
+    score = m.copy() if low == wide - 1 else np.full(u, 64 * (low + 1))
     for j in range(int(n.max())):
         if j % 16 == 0:
             done = n[live] <= j
             out[live[done]] = score[done] <= most[live[done]]
-            keep = ~done & (score - (n[live] - j) <= most[live])
+            keep = ~done & ((low < wide - 1) | (score - (n[live] - j) <= most[live]))
             if not keep.all():
-                live, score, last = live[keep], score[keep], last[keep]
+                live, score, ends = live[keep], score[keep], ends[keep]
                 pv, mv = [x[keep] for x in pv], [x[keep] for x in mv]
             if not len(live):
                 return out
         going = n[live] > j
-        eq = eqs[live * size + code[np.minimum(begin[live] + m[live] + j, len(code) - 1)]]
+        while low < min(wide - 1, (j + 1 + reach) // 64):
+            low += 1
+            score = score + (64 if low < wide - 1 else m[live] - 64 * (wide - 1))
+        high = max(0, (j - reach) // 64)
+        eq = eqs[live * size + code[np.minimum(begin[live] + m[live] + j, len(code) - 1)], high : low + 1]
         up, down = np.ones(len(live), np.uint64), np.zeros(len(live), np.uint64)
-        for w in range(wide):
-            p, q, e = pv[w], mv[w], eq[:, w]
+        for w in range(high, low + 1):
+            p, q, e = pv[w], mv[w], eq[:, w - high]
             xv = e | q
             e = e | down
             xh = (((e & p) + p) ^ p) | e
             ph, mh = q | ~(xh | p), p & xh
-            if w == wide - 1:
+            if w == low:
+                last = ends if low == wide - 1 else top
                 score += (((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)) * going
             next_up, next_down = ph >> top, mh >> top
             ph, mh = (ph << one) | up, (mh << one) | down
@@ -390,14 +406,16 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
     ship(spark)
     ws = ws or Workspace(spark, "lines")
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    seen = ws.table(source.mapInArrow(_lines(least, similar), "doc_id long, tie long, line int, key long, n int, sim long, blocks array<long>, body string"), "lines")
-    blocks = seen.where("body is not null").select("key", "n", "sim", F.explode("blocks").alias("v"))
-    # A class's length and SimHash follow from its key, so its least row is one row.
+    seen = ws.table(source.mapInArrow(_lines(least, similar), "doc_id long, tie long, line int, key long, n int, sim long, blocks array<long>, body string"), "lines", dictionary=False)
+    first_seen = seen.where("body is not null")
+    # Every class has some ten values, few of them shared: what else is known of a class joins those only.
+    blocks = first_seen.select("key", F.explode("blocks").alias("v"))
     centres = blocks.groupBy("v").agg(F.min("key").alias("ck"), F.max("key").alias("last")).where("ck < last").select("v", "ck")
     # What the planner knows of the values' number is wrong by far; the join places its own shuffle and AQE splits hot values.
-    shared = ws.table(blocks.join(centres.hint("merge"), "v").distinct(), "shared")
-    needed = shared.select("key").distinct()
-    body = ws.table(seen.where("body is not null").select("key", "body").join(needed, "key", "left_semi").dropDuplicates(["key"]), "bodies")
+    met = ws.table(blocks.join(centres.hint("merge"), "v").distinct(), "met")
+    needed = met.select("key").distinct()
+    body = ws.table(first_seen.select("key", "n", "sim", "body").join(needed, "key", "left_semi").dropDuplicates(["key"]), "bodies")
+    shared = ws.table(met.join(body.select("key", "n", "sim"), "key"), "shared")
 
     def close(a: str, b: str):
         """Lengths and SimHashes of two classes that may link."""
@@ -409,7 +427,7 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
         la, lb = (body.select(F.col("key").alias(k), F.col("body").alias("l" + k)) for k in "ab")
         return ws.table(pairs.join(la, "a").join(lb, "b").select("a", "b", "la", "lb").mapInArrow(_verify(similar), "a long, b long"), name)
 
-    of = shared.select(F.col("key").alias("ck"), F.col("n").alias("nc"), F.col("sim").alias("simc")).distinct()
+    of = body.select(F.col("key").alias("ck"), F.col("n").alias("nc"), F.col("sim").alias("simc"))
     stars = shared.where("key <> ck").select("key", F.col("n").alias("nk"), F.col("sim").alias("simk"), "ck").distinct().join(of, "ck")
     stars = ws.table(stars.where(close("c", "k")).select(F.col("ck").alias("a"), F.col("key").alias("b")), "stars")
     first = verified(stars, "first")
@@ -421,7 +439,7 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
     rest = x.join(y, "v").where("keyx < keyy and groupx <> groupy").where(close("x", "y")).select(F.col("keyx").alias("a"), F.col("keyy").alias("b")).distinct()
     second = verified(rest.join(stars, ["a", "b"], "left_anti"), "second")
     roots = connected_components(first.unionByName(second), ws)
-    ws.drop("shared", "bodies", "stars", "grouped")
+    ws.drop("met", "shared", "bodies", "stars", "grouped")
     return seen.select("doc_id", "tie", "line", "key", "n"), roots
 
 
