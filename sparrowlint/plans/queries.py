@@ -301,7 +301,7 @@ def finding_dedup(spark, sf_dir):
     return lint(_schema_files(spark, sf_dir), config).findings.groupBy("rule_id", "file").agg(F.count("*").alias("n"))
 
 
-@query("""select 's/' || k || '.sql' file, replace(t.alias, '#', k) alias, replace(t.tbl, '#', k) tbl from (select c_custkey k from customer), (values
+@query("""select 's/' || k || '.sql' file, replace(t.alias, '#', k::varchar) alias, replace(t.tbl, '#', k::varchar) tbl from (select c_custkey k from customer), (values
     (0, 'users', 'users'), (1, 'users', 'users'), (2, 'users', 'users'), (3, 'users', 'users'), (3, 'orders', 'orders'), (4, 'users', 'users'), (4, 'ghost_#', 'ghost_#'), (4, 'g', 'ghost_#'),
     (5, 'u', 'users'), (5, 'users', 'users'), (5, 'o', 'orders'), (5, 'orders', 'orders'), (6, 'q', 'q'), (7, 'users', 'users')) t(m, alias, tbl) where k % 8 = m""")
 def alias_resolution(spark, sf_dir):
@@ -459,7 +459,7 @@ def scanner_selection(spark, sf_dir):
     return scanned(files, parsed=False).groupBy("file", "engine").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("""select 'e/' || c_custkey || '.sql' file, s.i stmt_idx, replace(s.t, '#', c_custkey) as sql from customer, (values (0, 'SELECT E''it\\''s; ' || chr(92) || chr(92) || '#'''), (1, 'SELECT ''back\\'''), (2, 'SELECT #')) s(i, t)""")
+@query("""select 'e/' || c_custkey || '.sql' file, s.i stmt_idx, replace(s.t, '#', c_custkey::varchar) as sql from customer, (values (0, 'SELECT E''it\\''s; ' || chr(92) || chr(92) || '#'''), (1, 'SELECT ''back\\'''), (2, 'SELECT #')) s(i, t)""")
 def escape_strings(spark, sf_dir):
     k = F.col("c_custkey").cast("string")
     body = F.replace(F.lit("SELECT E'it\\'s; \\\\#'; SELECT 'back\\'; SELECT #;"), F.lit("#"), k)
@@ -467,7 +467,7 @@ def escape_strings(spark, sf_dir):
     return scanned(files, parsed=False).select("file", "stmt_idx", "sql")
 
 
-@query("""select 'r/' || c_custkey || '.sql' file, 2 line, 1 "column", 4 end_line, 12 + length(c_custkey::varchar) end_column from customer""")
+@query("""select 'r/' || c_custkey || '.sql' file, 2 line, 1 "column", 4 end_line, 13 + length(c_custkey::varchar) end_column from customer""")
 def range_fill(spark, sf_dir):
     k = F.col("c_custkey").cast("string")
     files = table(spark, sf_dir, "customer").select(F.concat(F.lit("r/"), k, F.lit(".sql")).alias("path"), F.concat(F.lit("\nUPDATE users\n\nSET score = "), k, F.lit(" ;\nSELECT 1")).alias("content"))
@@ -530,7 +530,7 @@ def drift_guards(spark, sf_dir):
 
 @query("select 'p/' || s_suppkey || '.py' file, 2 line, 'SELECT ' || s_suppkey as sql from supplier")
 def statement_dedup(spark, sf_dir):
-    files = _supplier_file(spark, sf_dir, "p/", ".py", [(F.lit(True), 'import sqlalchemy\na(text("SELECT {k}")), b(text("SELECT {k}"))\n')])
+    files = _supplier_file(spark, sf_dir, "p/", ".py", [(F.lit(True), 'import sqlalchemy\na.execute(text("SELECT {k}")), a.execute(text("SELECT {k}"))\n')])
     return scanned(files, parsed=False).select("file", "line", "sql")
 
 
