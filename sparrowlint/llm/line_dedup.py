@@ -11,10 +11,10 @@ width finds it. Here a line's features, its word bigrams, are dealt to blocks by
 hash, and a block is the 64-bit SimHash of its features alone. An edit changes a few
 features and with them a few blocks; by the pigeonhole principle some block stays as long
 as there are more blocks than changed features, and usually beyond. The number of blocks
-doubles with the length of the line, so that each holds SHARE to 2 * SHARE features;
-lines little above a step also have the blocks below it. The first BLOCKS of them count,
-and in lines of several blocks only those of three features or more, which chance seldom
-makes equal. Lines under SHORT characters have the hashes of their one-deletion variants
+doubles with the length of the line, from eight on, so that each holds SHARE to 2 * SHARE
+features; lines little above a step also have the blocks below it. The first BLOCKS of
+them count, and in all but short lines only those of three features or more (two at eight
+blocks), which chance seldom makes equal. Lines under SHORT characters have the hashes of their one-deletion variants
 too, which finds every pair one edit apart, whatever their SimHashes.
 
 Pairs are not all looked at. Every block value has a centre, its least class, and first all
@@ -35,7 +35,7 @@ from sparrowlint.llm.common import byte_table, free_name, mix, rows_of, segment_
 from sparrowlint.llm.components import connected_components
 from sparrowlint.runtime import Workspace, ship
 
-SHARE, BLOCKS, FEW_WORDS, SHORT, BITS = 2.5, 12, 6, 30, 20
+SHARE, BLOCKS, LEAST_LEVEL, FEW_WORDS, SHORT, BITS = 2.5, 12, 3, 6, 30, 20
 SEEN, PAYS, STEP, PAIRS, CELLS = 1 << 17, 16, 1 << 20, 1 << 16, 1 << 23
 _SPREAD = np.array([sum(((x >> j) & 1) << (8 * j) for j in range(8)) for x in range(256)], np.uint64)
 _ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
@@ -143,8 +143,9 @@ def line_blocks(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         s = np.flatnonzero(np.append(True, fr[1:] != fr[:-1]))
         whole[fr[s]] = simhash(f, s)
     m = np.bincount(fr, minlength=len(n))
-    level = np.floor(np.log2(np.maximum(m / SHARE, 1))).astype(np.int64)
-    near = (level > 0) & (m < 1.25 * SHARE * 2.0**level)
+    level = np.maximum(np.floor(np.log2(np.maximum(m / SHARE, 1))), LEAST_LEVEL).astype(np.int64)
+    near = (level > LEAST_LEVEL) & (m < 1.25 * SHARE * 2.0**level)
+    least = np.where(level > LEAST_LEVEL, 3, np.where(m < SHARE * 2**LEAST_LEVEL, 1, 2))
     deal = (f >> np.uint64(40)).astype(np.int64)
     parts = []
     for below in (0, 1):
@@ -160,7 +161,7 @@ def line_blocks(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     s = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     count, cell = np.diff(np.append(s, len(cell))), cell[s]
     line = cell // (128 * BLOCKS)
-    keep = (count >= 3) | (level[line] < 2)
+    keep = count >= least[line]
     value = mix(simhash(f, s) + (cell % (64 * BLOCKS)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return line[keep], value[keep], whole
 
@@ -297,8 +298,10 @@ def _side_by_side(pairs: list[tuple[str, str, int]], wide: int) -> np.ndarray:
     """Only words that hold rows within ``most`` of the diagonal are computed: what they take for the rest is no less, so distances up to ``most`` are exact."""
     m, n, most = (np.array(x, np.int64) for x in zip(*((len(a), len(b), k) for a, b, k in pairs)))
     flat = np.frombuffer("".join(a + b for a, b, _ in pairs).encode("utf-32-le"), np.uint32)
-    _, code = np.unique(flat, return_inverse=True)
-    size = int(code.max()) + 1
+    used = np.zeros(int(flat.max()) + 1, bool)
+    used[flat] = True
+    code = (np.cumsum(used) - 1)[flat]
+    size = int(used.sum())
     begin = np.cumsum(m + n) - m - n
     u = len(pairs)
     if u * size * wide > CELLS:
@@ -309,12 +312,11 @@ def _side_by_side(pairs: list[tuple[str, str, int]], wide: int) -> np.ndarray:
     pair = np.repeat(np.arange(u), m)
     at = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
     cell = (pair * size + code[begin[pair] + at]) * wide + at // 64
-    order = np.argsort(cell, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
-    eqs = np.zeros(u * size * wide, np.uint64)
-    # The bits of a cell differ, so that their sum is their union.
-    eqs[cell[order][first]] = np.add.reduceat((np.uint64(1) << (at % 64).astype(np.uint64))[order], first)
-    eqs = eqs.reshape(u * size, wide)
+    # The bits of a cell differ, so that their sum is their union; halves of 32 bits are exact in doubles.
+    bit = 2.0 ** (at % 32)
+    upper = at % 64 >= 32
+    halves = [np.bincount(cell[half], bit[half], u * size * wide).astype(np.uint64) for half in (~upper, upper)]
+    eqs = (halves[0] | halves[1] << np.uint64(32)).reshape(u * size, wide)
     one, top = np.uint64(1), np.uint64(63)
     ends = ((m - 1) % 64).astype(np.uint64)
     pv = [np.full(u, ~np.uint64(0)) for _ in range(wide)]
@@ -365,8 +367,11 @@ def similar_lines(pairs: list[tuple[str, str]], similar: float) -> np.ndarray:
         most = int((1 - similar) * max(len(a), len(b)) + 1e-9)
         if abs(len(a) - len(b)) > most:
             continue
+        if word_bound(a, b, most) <= most:
+            out[i] = True
+            continue
         a, b = trimmed(a, b)
-        if max(len(a), len(b)) <= most or word_bound(a, b, most) <= most:
+        if max(len(a), len(b)) <= most:
             out[i] = True
         else:
             rest.append((a, b, most))

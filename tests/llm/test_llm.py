@@ -103,6 +103,13 @@ def test_substrings(spark, rows, docs, none, monkeypatch):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_minima_by_steps():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) & ~np.uint64((1 << 40) - 1)
+    h[100:160] = h[100]
+    want = [i + int(np.argmin(h[i : i + 53] >> np.uint64(28))) for i in range(len(h) - 52)]
+    assert all(substring_dedup.minima(h, 53, step).tolist() == want for step in (1 << 27, 1000, 64))
+
+
 def test_suffix_array():
     b = np.frombuffer(b"banana" * 40 + b"bandana" * 20, np.uint8)
     sa, word = substring_dedup.suffix_array(b, len(b))
