@@ -148,10 +148,6 @@ def repeats(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return again, earlier
 
 
-def crc_mod(column, k: int):
-    return F.crc32(column.cast("string")) % k
-
-
 BLOOM_BITS = 26
 
 

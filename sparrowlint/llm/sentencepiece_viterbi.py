@@ -25,12 +25,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from sparrowlint.llm.common import slices, texts
+from sparrowlint.llm.common import Memo, slices, spread, texts
 from sparrowlint.runtime import ship
 
 MARK = "▁"
-LONG = 48
-MEMO_WORDS = 150_000
+CELLS, MEMO = 1 << 17, 300_000
 
 
 def _fields(raw: bytes):
@@ -97,7 +96,7 @@ class Codec:
         if self.merging:
             self._merges()
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.pieces)
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo, self.commits = Memo(MEMO), 0
         self._trie()
 
     def _trie(self) -> None:
@@ -170,96 +169,77 @@ class Codec:
             live = live[go]
         return out
 
-    def stream(self, chars, commit) -> None:
-        """One segment of any length, from an iterator; calls commit with ids as they become final."""
-        window, best, back = [], [0.0], [(0, -1)]
-        first = 0  # where no piece comes before; -1 once something is committed
-        # back[j], of the j-th position of the window: (characters, id or -1).
-        pending: list[tuple[int, int, float]] = []
-        for ch in chars:
-            window.append(ch)
-            here, base, grown, single = len(window) - 1, best[len(window) - 1], [], False
-            best.append(-np.inf)
-            back.append((0, -1))
-            pending.append((0, here, base))
-            for state, since, score in pending:
-                state = self.step.get((state, ord(ch)), -1)
-                if state < 0:
-                    continue
-                grown.append((state, since, score))
-                i = int(self.end[state])
-                if i >= 0:
-                    single |= since == here
-                    if self.merging:
-                        if since == first or self.holds(np.array([back[since][1]]), np.array([i]))[0]:
-                            best[-1], back[-1] = 0.0, (here + 1 - since, i)
-                    elif score + self.scores[i] > best[-1]:
-                        best[-1], back[-1] = score + self.scores[i], (here + 1 - since, i)
-            if not single and self.merging:
-                best[-1], back[-1] = 0.0, (1, -1)
-            elif not single and base + self.unk_score > best[-1]:
-                best[-1], back[-1] = base + self.unk_score, (1, -1)
-            pending = grown
-            if len(window) >= 4 * self.longest:
-                live = [since for _, since, _ in pending] + [len(window)]
-                cut = self._meet(back, live)
-                if cut:
-                    commit(self._walk(window, back, cut))
-                    best = [b - best[cut] for b in best[cut:]]
-                    window, back, first = window[cut:], back[cut:], -1
-                    pending = [(s, since - cut, score) for s, since, score in pending]
-                    pending = [(s, since, best[since]) for s, since, _ in pending]
-        commit(self._walk(window, back, len(window)))
-
-    @staticmethod
-    def _meet(back, live) -> int:
-        at = set(live)
-        while len(at) > 1:
-            last = max(at)
-            at.discard(last)
-            at.add(last - back[last][0])
-        return at.pop()
-
-    def _walk(self, window, back, at) -> list[int]:
-        out: list[int] = []
-        while at > 0:
-            n, i = back[at]
-            out.extend([i] if i >= 0 else [int(x) for x in self.bytes[list(window[at - 1].encode())][::-1]])
-            at -= n
-        return out[::-1]
-
-    def segments(self, items: list[str]) -> list[np.ndarray]:
-        """The ids of each segment, searched side by side."""
-        out: list = [None] * len(items)
+    def segments(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments one after another and their number in each; as many are searched side by side as hold CELLS characters."""
         lens = np.fromiter(map(len, items), np.int64, len(items))
-        for k in np.flatnonzero(lens > LONG):
-            got: list[int] = []
-            self.stream(items[k], got.extend)
-            out[k] = np.array(got, np.int64)
-        for low in range(0, LONG, 8):
-            rows = np.flatnonzero((lens > low) & (lens <= low + 8))
-            for a in range(0, len(rows), 20000):
-                part = rows[a : a + 20000]
-                for k, ids in zip(part, self._side_by_side([items[k] for k in part], lens[part])):
-                    out[k] = ids
-        return [np.zeros(0, np.int64) if x is None else x for x in out]
-
-    def _side_by_side(self, items: list[str], lens: np.ndarray) -> list[np.ndarray]:
-        u, width = len(items), int(lens.max())
-        flat = np.frombuffer("".join(items).encode("utf-32-le"), np.uint32).astype(np.int64)
-        ch = np.zeros((u, width), np.int64)
-        ch[np.arange(width)[None, :] < lens[:, None]] = flat
-        best = np.full((u, width + 1), -np.inf)
+        order = np.argsort(lens, kind="stable")
+        found, at = [], 0
+        while at < len(order):
+            longest = lens[order[at:]] * np.arange(1, len(order) - at + 1)
+            to = at + max(1, int(np.searchsorted(longest, CELLS)))
+            rows = order[at:to]
+            lane, place, ids = self._search([items[k] for k in rows], lens[rows])
+            found.append((rows[lane], place, ids))
+            at = to
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lane, place, ids = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((place, lane))
+        return ids[order], np.bincount(lane, minlength=len(items))
+
+    def _search(self, items: list[str], lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, place, id) of every piece, in no order.
+
+        All segments advance by one character at a time. Boundary p of a segment lies in
+        column p modulo the window; after every ``longest`` characters the paths that can
+        still be extended are walked back until they meet, and what lies before is final.
+        The window grows only where paths do not meet.
+        """
+        u, reach = len(items), self.longest
+        flat = np.frombuffer("".join(items).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begin = np.cumsum(lens) - lens
+        window = 3 * reach
+        best = np.full((u, window), -np.inf, np.float64)
         best[:, 0] = 0
-        piece, size = np.full((u, width + 1), -1, np.int64), np.ones((u, width + 1), np.int64)
-        for i in range(width):
-            rows = np.flatnonzero(lens > i)
-            state, base = np.zeros(len(rows), np.int64), best[rows, i]
-            single = np.zeros(len(rows), bool)
-            live = np.arange(len(rows))
-            for d in range(1, min(self.longest, width - i) + 1):
-                live = live[lens[rows[live]] >= i + d]
-                key = (state[live] << 21) | ch[rows[live], i + d - 1]
+        piece, size = np.full((u, window), -1, np.int32), np.zeros((u, window), np.int32)
+        base, out = np.zeros(u, np.int64), []
+
+        def commit(rows: np.ndarray, to: np.ndarray) -> None:
+            at = to.copy()
+            live = np.flatnonzero(at > base[rows])
+            while len(live):
+                r, p = rows[live], at[live]
+                out.append((r, p, piece[r, p % window], flat[begin[r] + p - 1]))
+                at[live] = p - size[r, p % window]
+                live = live[at[live] > base[rows[live]]]
+            base[rows] = to
+
+        rows = np.arange(u)
+        for i in range(int(lens.max(initial=0))):
+            over = lens[rows] == i
+            if over.any():
+                commit(rows[over], np.full(int(over.sum()), i))
+                rows = rows[~over]
+            if i and i % reach == 0:
+                self._settle(i, rows, base, size, window, commit)
+                if i + reach - base[rows].min() >= window:
+                    columns = np.arange(i - window + reach + 1, i + reach) % window
+                    to = np.arange(i - window + reach + 1, i + reach) % (2 * window)
+                    grown = []
+                    for a, empty in ((best, -np.inf), (piece, -1), (size, 0)):
+                        b = np.full((u, 2 * window), empty, a.dtype)
+                        b[:, to] = a[:, columns]
+                        grown.append(b)
+                    (best, piece, size), window = grown, 2 * window
+            c = (i + reach) % window
+            best[rows, c], piece[rows, c], size[rows, c] = -np.inf, -1, 0
+            here = i % window
+            base_score, before = best[rows, here], piece[rows, here]
+            state, single = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+            live, rest = np.arange(len(rows)), lens[rows] - i
+            for d in range(1, reach + 1):
+                live = live[rest[live] >= d]
+                key = (state[live] << 21) | flat[begin[rows[live]] + i + d - 1]
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 ok = self.keys[at] == key
                 live, at = live[ok], at[ok]
@@ -268,32 +248,59 @@ class Codec:
                 state[live] = self.next[at]
                 ends = self.end[state[live]]
                 hit = ends >= 0
-                r, e = rows[live[hit]], ends[hit]
+                k, e, c = live[hit], ends[hit], (i + d) % window
                 if d == 1:
-                    single[live[hit]] = True
+                    single[k] = True
+                r = rows[k]
                 if self.merging:
-                    better = self.holds(piece[r, i], e) if i else np.ones(len(r), bool)
-                    score = np.zeros(len(r))
+                    better = self.holds(before[k], e) if i else np.ones(len(k), bool)
+                    score = np.zeros(len(k))
                 else:
-                    score = base[live[hit]] + self.scores[e]
-                    better = score > best[r, i + d]
+                    score = base_score[k] + self.scores[e]
+                    better = score > best[r, c]
                 r, e = r[better], e[better]
-                best[r, i + d], piece[r, i + d], size[r, i + d] = score[better], e, d
-            none = ~single & (self.merging | (base + self.unk_score > best[rows, i + 1]))
+                best[r, c], piece[r, c], size[r, c] = score[better], e, d
+            c = (i + 1) % window
+            none = ~single & (self.merging | (base_score + self.unk_score > best[rows, c]))
             r = rows[none]
-            best[r, i + 1], piece[r, i + 1], size[r, i + 1] = base[none] + self.unk_score, -1, 1
-        at, taken, rows = lens.copy(), [], np.arange(u)
-        while len(rows):
-            taken.append((rows, piece[rows, at[rows]], ch[rows, at[rows] - 1]))
-            at[rows] -= size[rows, at[rows]]
-            rows = rows[at[rows] > 0]
-        row, ids, last = (np.concatenate(x[::-1]) for x in zip(*taken))
-        order = np.argsort(row, kind="stable")
-        row, ids, last = row[order], ids[order], last[order]
-        if (ids < 0).any():
-            parts = [[i] if i >= 0 else self.bytes[list(chr(c).encode())].tolist() for i, c in zip(ids.tolist(), last.tolist())]
-            row, ids = np.repeat(row, [len(p) for p in parts]), np.array([x for p in parts for x in p], np.int64)
-        return np.split(ids, np.cumsum(np.bincount(row, minlength=u))[:-1])
+            best[r, c], piece[r, c], size[r, c] = base_score[none] + self.unk_score, -1, 1
+        commit(rows, lens[rows])
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        lane, place, ids, last = (np.concatenate(x) for x in zip(*out))
+        place = place * 4
+        if len(none := np.flatnonzero(ids < 0)):
+            # A character without a piece becomes its bytes, in order.
+            parts = [self.bytes[list(chr(c).encode("utf-8", "replace"))] for c in last[none].tolist()]
+            n = np.ones(len(ids), np.int64)
+            n[none] = [len(p) for p in parts]
+            at = np.repeat((np.cumsum(n) - n)[none], n[none])
+            lane, place, ids = np.repeat(lane, n), np.repeat(place, n), np.repeat(ids, n).astype(np.int64)
+            within = np.arange(len(at)) - np.repeat(np.cumsum(n[none]) - n[none], n[none])
+            ids[at + within] = np.concatenate(parts)
+            place[at + within] += within
+        return lane, place, ids
+
+    def _settle(self, i: int, rows: np.ndarray, base: np.ndarray, size: np.ndarray, window: int, commit) -> None:
+        """Commits, per segment, all before the one boundary through which every path runs that ends at i or will be reached from before i."""
+        low = int(base[rows].min()) if len(rows) else i
+        heads = np.zeros((len(rows), i - low + 1), bool)
+        heads[:, -1] = True
+        for p in range(i + 1, i + self.longest):
+            n = size[rows, p % window]
+            k = np.flatnonzero(n)
+            heads[k, p - n[k] - low] = True
+        count = heads.sum(axis=1)
+        for p in range(i, low, -1):
+            k = np.flatnonzero((count > 1) & heads[:, p - low])
+            if len(k):
+                q = p - size[rows[k], p % window] - low
+                count[k] -= heads[k, q]
+                heads[k, p - low], heads[k, q] = False, True
+        met = low + heads.argmax(axis=1)
+        k = np.flatnonzero((count == 1) & (met > base[rows]))
+        self.commits += len(k)
+        commit(rows[k], met[k])
 
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and offsets. The dummy prefix is added to every row with characters."""
@@ -322,18 +329,9 @@ class Codec:
         return out, np.append(0, ends)
 
     def _assemble(self, names, codes, offsets):
-        new = [w for w in names if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = names
-        self.memo.update(zip(new, self.segments(new)))
-        per = [self.memo[w] for w in names]
-        size = np.fromiter(map(len, per), np.int64, len(per))
-        table = np.concatenate(per) if per else np.zeros(0, np.int64)
-        starts, lens = np.cumsum(size) - size, size[codes]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        return table[np.arange(total) - np.repeat(ends - lens - starts[codes], lens)], np.append(0, ends)[offsets - offsets[0]]
+        slot = self.memo.slots((names, self.segments))[codes]
+        flat, ends = spread(self.memo.table, self.memo.start[slot], self.memo.size[slot])
+        return flat, ends[offsets - offsets[0]]
 
     def decode(self, ids) -> str:
         raw = b"".join([self.out[i] for i in ids])
@@ -350,9 +348,11 @@ def codec(path: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids array<int>)`` for each row; whole texts. Null and empty texts have no ids.
+    """``(doc_id, ids array<int>, text)`` for each row: the ids of the whole text, and what they decode to.
 
-    Repeated rows and null doc_ids are encoded like any other; other columns are not read.
+    Null and empty texts have no ids and decode to an empty text. Repeated rows and null
+    doc_ids are encoded like any other; an empty table gives no rows; other columns are
+    not read.
     """
     ship(docs.sparkSession)
 
@@ -360,15 +360,18 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         c = codec(model)
         for b in slices(it, "text", 2 << 20):
             flat, off = c.encode(texts(b))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["doc_id", "ids"])
+            all_ids, at = flat.tolist(), off.tolist()
+            back = [c.decode(all_ids[a:z]) for a, z in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.astype(np.int32))), pa.array(back, pa.string())], ["doc_id", "ids", "text"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """Per document: doc_id, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_equals.
+    """Per row: doc_id, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_equals.
 
-    decoded_equals is whether decoding gives the text again (null as empty). It is false
+    A null or empty text has no ids; repeated rows and null doc_ids count like any other; an
+    empty table gives no rows; other columns are not read. decoded_equals is whether decoding gives the text again (null as empty). It is false
     only where the text itself holds the space mark U+2581, which decodes to a space.
     """
     ship(docs.sparkSession)
