@@ -238,7 +238,9 @@ def keep_one_per_group(docs: DataFrame, k: int = 5, percent: int = 90) -> DataFr
     stay = ws.table(stay.unionByName(described.where("n = 0").select(F.col("doc_id").alias(keep), F.col("tie").alias(tie), F.lit(False).alias(whole)).distinct()), "stay")
     kept = docs.withColumn(key, F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col(keep)) & (F.col(key) == F.col(tie)))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    if not full.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
+    repeated = not full.groupBy("doc_id", "tie").count().where("count > 1").isEmpty()
+    ws.drop("described", "links")
+    if repeated:
         w = Window.partitionBy(keep, tie).orderBy(key)
         once = kept.where(F.col(whole)).withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1)
         return once.select(*names).unionByName(kept.where(~F.col(whole)).select(*names))

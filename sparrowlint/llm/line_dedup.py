@@ -462,7 +462,9 @@ def removed_lines(docs: DataFrame, similar: float = 0.9, least: int = 1) -> Data
     least_of = rooted.groupBy("root").agg(F.min("first").alias("least"), F.sum("c").alias("total"))
     info = rooted.join(least_of.where("total > 1"), "root").select("key", F.col("least.doc_id").alias("d0"), F.col("least.tie").alias("t0"), F.col("least.line").alias("l0"))
     hit = seen.join(info, "key").where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("tie") == F.col("t0")) & (F.col("line") == F.col("l0"))))
-    return ws.table(hit.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.array_sort(F.collect_set("line")).alias("_removed")), "removed")
+    removed = ws.table(hit.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.array_sort(F.collect_set("line")).alias("_removed")), "removed")
+    ws.drop("lines", "first", "second")
+    return removed
 
 
 def _with_removed(docs: DataFrame, similar: float, least: int) -> tuple[DataFrame, str]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,7 +42,8 @@ class Workspace:
     """Tables written in the shared folder so that a lost executor costs no recomputation.
 
     ``table`` writes a DataFrame and reads it again; ``drop`` removes tables that
-    no result reads any more.
+    no result reads any more. The shuffle files of a write go when it ends: left to the
+    driver's garbage collection, those of all steps would lie on disk at once.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -53,7 +55,13 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
         """The rows as read back; without dictionary the writer does not try one, for columns of values that hardly repeat."""
-        df.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(self.at(name))
+        conf = self.spark.conf
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(self.at(name))
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, *names: str) -> None:

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 
 from sparrowlint.llm import ann, jaccard_join, langid, line_dedup, mixing, quality_rules, queries, sentencepiece_viterbi, token_store, warc
+from sparrowlint.runtime import Workspace, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 SF = "/root/testdata/sf0.001"
@@ -319,3 +320,23 @@ def test_pipeline_against_its_parts(spark, some, tmp_path):
     lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert sorted((str(r["doc_id"]), list(r["ids"])) for r in last) == sorted((str(r["doc_id"]), lib.encode(r["text"])) for r in mixed)
     assert all(r["text"] == lib.decode(list(r["ids"])) for r in last)
+
+
+def test_steps_leave_no_shuffle_files(spark, some, tmp_path):
+    """What a written table shuffled is gone at once, and of the steps of line dedup and the Jaccard join only what the result reads stays."""
+    _, df = some
+    docs = spark.read.parquet(saved(df, tmp_path) + "/documents.parquet")
+    folders = shared_dir(spark).removeprefix("file://") + "/*/*"
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    Workspace(spark, "shuffles").table(docs.groupBy("source").count(), "counts")
+    assert not files() - before
+    for stage in (line_dedup.deduplicate_lines, jaccard_join.keep_one_per_group):
+        held, result = set(glob.glob(folders)), stage(docs)
+        new = {p.rsplit("/", 1)[1] for p in set(glob.glob(folders)) - held}
+        assert not new & {"lines", "first", "second", "described", "links", "posts", "sets"} and result.count() > 0
