@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrowlint.runtime import Workspace
+
 CHUNK = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -185,6 +189,80 @@ def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
 
 
+def file_system(path: str) -> tuple[pf.FileSystem, str]:
+    """The file system of a path and the path there: whatever scheme pyarrow knows, so files need no mounted folder."""
+    return pf.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
+SEGMENT = 13
+
+
+def _word_and_mask(h: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each key in a filter of so many, and its four bits in it."""
+    x = mix(h.view(np.uint64))
+    low, one = np.uint64(63), np.uint64(1)
+    mask = np.zeros(len(x), np.uint64)
+    for k in range(4):
+        mask |= one << ((x >> np.uint64(6 * k)) & low)
+    return (((x >> np.uint64(32)) * np.uint64(n_words)) >> np.uint64(32)).astype(np.int64), mask
+
+
+def write_filter(keys: DataFrame, column: str, ws: Workspace, name: str, bits: int) -> str:
+    """The path of a filter of ``bits`` bits a key, so that what it lets through beyond the keys is a fixed share of the rest, however many they are.
+
+    keys, without nulls or repeats, are read twice. Every key has one word of 64 bits and
+    four bits in it; of other keys 5 % pass at 8 bits, 0.8 % at 16. Segments of 64 KiB are
+    packed by the tasks and pass through the driver one partition at a time. Workers map the
+    file where it lies in a local folder, so that those of one machine share it.
+    """
+    n_words = max(1, -(-(keys.count() * bits) // (64 << SEGMENT))) << SEGMENT
+
+    def placed(it):
+        for b in it:
+            key = b.column(0)
+            yield pa.RecordBatch.from_arrays([pa.array(_word_and_mask(key.to_numpy(), n_words)[0] >> SEGMENT), key], ["seg", "key"])
+
+    def pack(t: pa.Table) -> pa.Table:
+        at, mask = _word_and_mask(t.column("key").to_numpy(), n_words)
+        words = np.zeros(1 << SEGMENT, np.uint64)
+        np.bitwise_or.at(words, at & ((1 << SEGMENT) - 1), mask)
+        return pa.table({"seg": t.column("seg").slice(0, 1), "words": pa.array([words.astype("<u8").tobytes()], pa.binary())})
+
+    packed = ws.table(keys.select(F.col(column).cast("long")).mapInArrow(placed, "seg long, key long").groupBy("seg").applyInArrow(pack, "seg long, words binary"), f"{name}-segments")
+    fs, path = file_system(ws.at(f"{name}.filter"))
+    done, none = 0, bytes(8 << SEGMENT)
+    with fs.open_output_stream(path) as out:
+        for row in packed.orderBy("seg").toLocalIterator():
+            for _ in range(row.seg - done):
+                out.write(none)
+            out.write(row.words)
+            done = row.seg + 1
+        for _ in range((n_words >> SEGMENT) - done):
+            out.write(none)
+    ws.drop(f"{name}-segments")
+    return ws.at(f"{name}.filter")
+
+
+_filters: dict[str, np.ndarray] = {}
+
+
+def in_filter(path: str, h: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the filter; keys that are always pass. A worker holds the two it used last."""
+    words = _filters.pop(path, None)
+    if words is None:
+        fs, at = file_system(path)
+        if isinstance(fs, pf.LocalFileSystem):
+            words = np.memmap(at, "<u8", "r")
+        else:
+            with fs.open_input_file(at) as f:
+                words = np.frombuffer(f.read(), "<u8")
+    _filters[path] = words
+    while len(_filters) > 2:
+        _filters.pop(next(iter(_filters)))
+    at, mask = _word_and_mask(h, len(words))
+    return words[at] & mask == mask
+
+
 class Memo:
     """The ids of strings seen before, in one table; past ``most`` strings only those of the last batch are kept."""
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowlint.llm.common import _BASE, _INVERSE, bitmap_of, byte_table, in_bitmap, mix, power, signed, slices, texts
+from sparrowlint.llm.common import _BASE, _INVERSE, byte_table, in_filter, mix, power, signed, slices, texts, write_filter
 from sparrowlint.runtime import Workspace, ship
 
 L, K = 100, 48
@@ -195,13 +195,14 @@ def repeated_spans(docs: DataFrame, ws: Workspace) -> DataFrame:
             a, c = np.unique(runs(*_raw(texts(b)))["a"], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.minimum(c, 2).astype(np.int8))], ["a", "c"])
 
-    twice = source.select("text").mapInArrow(anchors, "a long, c byte").groupBy("a").agg(F.sum("c").alias("c")).where("c > 1").select("a")
-    maybe = spark.sparkContext.broadcast(bitmap_of(twice, "a"))
+    twice = ws.table(source.select("text").mapInArrow(anchors, "a long, c byte").groupBy("a").agg(F.sum("c").alias("c")).where("c > 1").select("a"), "twice", dictionary=False)
+    maybe = write_filter(twice, "a", ws, "maybe", 8)
+    ws.drop("twice")
 
     def repeated(it):
         for b in slices(it, "text", CHUNK):
             f = runs(*_raw(texts(b)))
-            ok = in_bitmap(maybe.value, f["a"])
+            ok = in_filter(maybe, f["a"])
             did, tie = (b.column(c).to_numpy()[f["row"][ok]] for c in ("did", "tie"))
             s = f["s"][ok]
             yield pa.RecordBatch.from_arrays([pa.array(f["a"][ok]), pa.array(f["r"][ok]), pa.array(did), pa.array(tie), pa.array(s.astype(np.int32)), pa.array(f["n"][ok].astype(np.int16)), pa.array(_place(did, tie, s))], ["a", "r", "did", "tie", "s", "n", "p"])
@@ -213,8 +214,9 @@ def repeated_spans(docs: DataFrame, ws: Workspace) -> DataFrame:
     spans = later.select("did", "tie", "s", (F.col("s") + F.col("n") + (L - 1)).cast("int").alias("e"))
 
     several = ws.table(variants.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "several")
-    flagged = variants.join(several.select("a"), "a", "left_semi").select(F.col("first.p").alias("p"))
-    wanted = spark.sparkContext.broadcast(bitmap_of(flagged, "p"))
+    flagged = ws.table(variants.join(several.select("a"), "a", "left_semi").select(F.col("first.p").alias("p")), "flagged", dictionary=False)
+    wanted = write_filter(flagged, "p", ws, "wanted", 16)
+    ws.drop("flagged")
 
     def contents(it):
         for b in slices(it, "text", CHUNK):
@@ -222,7 +224,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace) -> DataFrame:
             f = runs(raw, ends)
             did, tie = (b.column(c).to_numpy()[f["row"]] for c in ("did", "tie"))
             p = _place(did, tie, f["s"])
-            ok = np.flatnonzero(in_bitmap(maybe.value, f["a"]) & in_bitmap(wanted.value, p))
+            ok = np.flatnonzero(in_filter(maybe, f["a"]) & in_filter(wanted, p))
             data = raw.tobytes()
             body = [data[f["at"][i] : f["at"][i] + f["n"][i] + L - 1] for i in ok]
             yield pa.RecordBatch.from_arrays([pa.array(f["a"][ok]), pa.array(did[ok]), pa.array(tie[ok]), pa.array(f["s"][ok].astype(np.int32)), pa.array(p[ok]), pa.array(body, pa.binary())], ["a", "did", "tie", "s", "p", "body"])
@@ -275,7 +277,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace) -> DataFrame:
     merged = leads.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(tasks))).groupBy("part").applyInArrow(merge, "did long, tie long, s long, e long")
     every = spans.select("did", "tie", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")).unionByName(compared.where("name is null").select("did", "tie", "s", "e")).unionByName(merged)
     out = ws.table(every.groupBy("did", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    ws.drop("runs", "variants", "several", "contents", "compared")
+    ws.drop("runs", "variants", "several", "contents", "compared", "maybe.filter", "wanted.filter")
     return out
 
 

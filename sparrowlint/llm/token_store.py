@@ -30,14 +30,13 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pf
 import pyarrow.parquet as pq
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowlint.llm.common import Memo, mix, rows_of, slices, spread, texts, words
+from sparrowlint.llm.common import Memo, file_system, mix, rows_of, slices, spread, texts, words
 from sparrowlint.runtime import Workspace, ship
 
 MAGIC = b"CASPACK1"
@@ -262,11 +261,6 @@ def levels(recipes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ranges, parts
 
 
-def _files(path: str) -> tuple[pf.FileSystem, str]:
-    """The file system of a folder and its path there: whatever scheme pyarrow knows, so packs need no mounted folder."""
-    return pf.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-
-
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, ws: Workspace) -> None:
     """Encode the documents and write packs, recipes and manifest under ``path``, a folder that all executors share."""
     spark = docs.sparkSession
@@ -292,7 +286,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, ws: Wor
         order = pc.sort_indices(t.column("row"))
         rows = t.column("row").take(order).to_pylist()
         picks = [[o["pos"] for o in x] for x in t.column("own").take(order).to_pylist()]
-        (fs, root), (out_fs, packs) = _files(source), _files(target)
+        (fs, root), (out_fs, packs) = file_system(source), file_system(target)
         out_fs.create_dir(packs)
         tmp, at, k = f"{packs}/.{n}.{os.getpid()}.{TaskContext.get().taskAttemptId()}.tmp", 0, 0
         with out_fs.open_output_stream(tmp) as out, fs.open_input_file(f"{root}/part-{n:05d}{tail}") as f:
@@ -332,7 +326,7 @@ FETCH_ROWS = 256
 def _fetch(path: str, bases: dict[int, int], digests: bool):
     def run(it):
         expand = zstandard.ZstdDecompressor().decompress
-        (fs, packs), handles = _files(path), {}
+        (fs, packs), handles = file_system(path), {}
         for b in (batch.slice(i, FETCH_ROWS) for batch in it for i in range(0, batch.num_rows, FETCH_ROWS)):
             out, want = [], b.column("n_tokens").to_pylist()
             for n, chunks, root in zip(want, b.column("chunks").to_pylist(), b.column("root").to_pylist()):

@@ -337,3 +337,16 @@ def test_warc(spark, tmp_path):
     assert got["n2"].outcome == "missing" and got["r1"].outcome == "full"
     odd = spark.createDataFrame([("a", "revisit", None, 1, None, None), ("b", "response", "", None, {}, None), (None, "revisit", "x", 2, {}, "d")], warc.RECORDS)
     assert warc.resolve_revisits(odd).count() == 3 and warc.resolve_revisits(odd.limit(0)).count() == 0
+
+
+def test_filter_grows_with_its_keys(spark, tmp_path):
+    """No key is lost, and of other keys as few pass with many keys as with few."""
+    from sparrowlint.llm.common import in_filter, write_filter
+    from sparrowlint.runtime import Workspace
+
+    ws = Workspace(spark, "filters")
+    other = np.arange(1 << 40, (1 << 40) + 200_000)
+    for n in (0, 1000, 3_000_000):
+        path = write_filter(spark.range(n), "id", ws, f"f{n}", 16)
+        assert in_filter(path, np.arange(n)).all()
+        assert in_filter(path, other).mean() < 0.015
