@@ -37,6 +37,7 @@ from sparrowlint.runtime import Workspace, ship
 
 SHARE, BLOCKS, LEAST_LEVEL, FEW_WORDS, SHORT, BITS = 2.5, 12, 3, 6, 30, 20
 SEEN, PAYS, STEP, PAIRS, CELLS = 1 << 17, 16, 1 << 20, 1 << 16, 1 << 23
+PART, DEALT = 1 << 19, 1 << 18
 _SPREAD = np.array([sum(((x >> j) & 1) << (8 * j) for j in range(8)) for x in range(256)], np.uint64)
 _ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
@@ -198,12 +199,60 @@ def _lines(least: int, similar: float):
             is_first = np.zeros(len(n), bool)
             is_first[first] = True
             take = pa.array(row)
-            out = pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("tie").take(take), pa.array((np.arange(len(row)) - x.offsets[row]).astype(np.int32)), pa.array(signed(key)), pa.array(n.astype(np.int32)), pa.array(signed(sim)), blocks, pc.if_else(pa.array(is_first), lines, pa.scalar(None, pa.string()))], ["doc_id", "tie", "line", "key", "n", "sim", "blocks", "body"])
+            out = pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("tie").take(take), pa.array((np.arange(len(row)) - x.offsets[row]).astype(np.int32)), pa.array(signed(key)), pa.array(n.astype(np.int32)), pa.array(signed(sim)), pa.array(np.bincount(at, minlength=len(n)).astype(np.int32)), blocks, pc.if_else(pa.array(is_first), lines, pa.scalar(None, pa.string()))], ["doc_id", "tie", "line", "key", "n", "sim", "n_blocks", "blocks", "body"])
             yield out.filter(pa.array(n >= max(1, least)))
 
     return run
 
 
+def _deal(parts: int):
+    """The values of classes by part: ``pairs`` are value and key of each, 16 bytes together. A part is in memory at once, with all classes of its values."""
+
+    def run(it):
+        held: list[np.ndarray] = []
+
+        def dealt():
+            rows = np.concatenate(held)
+            part = ((mix(rows[:, 0].view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            s = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            ends = (np.append(s, len(part)) * 16).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(part[s]), pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(rows[order].tobytes())])], ["part", "pairs"])
+
+        for b in it:
+            blocks = b.column("blocks")
+            size = pc.fill_null(pc.list_value_length(blocks), 0).to_numpy()
+            values = blocks.flatten().to_numpy()
+            for i in range(0, len(values), DEALT):
+                held.append(np.stack([values[i : i + DEALT], np.repeat(b.column("key").to_numpy(), size)[i : i + DEALT]], axis=1))
+                if sum(map(len, held)) >= DEALT:
+                    yield dealt()
+                    held.clear()
+        if held:
+            yield dealt()
+
+    return run
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """Of a part the values that several classes have: each with its classes and the least of them."""
+    rows = np.frombuffer(b"".join(t.column("pairs").to_pylist()), np.int64).reshape(-1, 2)
+    order = np.argsort(rows[:, 0])
+    v = rows[order, 0]
+    same = v[1:] == v[:-1]
+    keep = np.append(False, same) | np.append(same, False)
+    v, key = v[keep], rows[order[keep], 1]
+    order = np.lexsort((key, v))
+    v, key = v[order], key[order]
+    begins = np.append(True, v[1:] != v[:-1])[: len(v)]
+    new = begins | np.append(True, key[1:] != key[:-1])[: len(v)]
+    v, key, s = v[new], key[new], np.flatnonzero(begins[new])
+    many = np.diff(np.append(s, len(v)))
+    shared = np.repeat(many > 1, many)
+    return pa.table({"v": v[shared], "key": key[shared], "ck": np.repeat(key[s], many)[shared]})
+
+
 def distance_within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most ``most``: bit-parallel, a column of the table being two integers of any length."""
     m, left = len(a), len(b)
@@ -411,13 +460,13 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
     ship(spark)
     ws = ws or Workspace(spark, "lines")
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    seen = ws.table(source.mapInArrow(_lines(least, similar), "doc_id long, tie long, line int, key long, n int, sim long, blocks array<long>, body string"), "lines", dictionary=False)
+    seen = ws.table(source.mapInArrow(_lines(least, similar), "doc_id long, tie long, line int, key long, n int, sim long, n_blocks int, blocks array<long>, body string"), "lines", dictionary=False)
     first_seen = seen.where("body is not null")
     # Every class has some ten values, few of them shared: what else is known of a class joins those only.
-    blocks = first_seen.select("key", F.explode("blocks").alias("v"))
-    centres = blocks.groupBy("v").agg(F.min("key").alias("ck"), F.max("key").alias("last")).where("ck < last").select("v", "ck")
-    # What the planner knows of the values' number is wrong by far; the join places its own shuffle and AQE splits hot values.
-    met = ws.table(blocks.join(centres.hint("merge"), "v").distinct(), "met")
+    # The values go by parts of some PART each, so many to a row that rows cost nothing; all of one value go to one part.
+    parts = 1 + int(seen.agg(F.sum("n_blocks")).first()[0] or 0) // PART
+    dealt = first_seen.select("key", "blocks").mapInArrow(_deal(parts), "part int, pairs binary")
+    met = ws.table(dealt.groupBy("part").applyInArrow(_meet, "v long, key long, ck long"), "met", dictionary=False)
     needed = met.select("key").distinct()
     body = ws.table(first_seen.select("key", "n", "sim", "body").join(needed, "key", "left_semi").dropDuplicates(["key"]), "bodies")
     shared = ws.table(met.join(body.select("key", "n", "sim"), "key"), "shared")

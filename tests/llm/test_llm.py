@@ -350,3 +350,24 @@ def test_filter_grows_with_its_keys(spark, tmp_path):
         path = write_filter(spark.range(n), "id", ws, f"f{n}", 16)
         assert in_filter(path, np.arange(n)).all()
         assert in_filter(path, other).mean() < 0.015
+
+
+def test_values_meet_in_parts():
+    """Dealt to any number of parts, the values that several classes share come with all their classes and the least of them, once each."""
+    rng = random.Random(5)
+    lists = [[rng.randrange(9000) for _ in range(rng.randrange(12))] for _ in range(4000)] + [[7] * 5, []]
+    keys = [rng.getrandbits(62) for _ in lists]
+    of = {}
+    for k, vs in zip(keys, lists):
+        for v in vs:
+            of.setdefault(v, set()).add(k)
+    want = {(v, k, min(ks)) for v, ks in of.items() if len(ks) > 1 for k in ks}
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lists, pa.list_(pa.int64()))], ["key", "blocks"])
+    again = batch.slice(0, 500)
+    for parts in (1, 13):
+        pairs = {}
+        for b in line_dedup._deal(parts)(iter([batch.slice(0, 900), batch.slice(900), again])):
+            for row in b.to_pylist():
+                pairs.setdefault(row["part"], []).append(row["pairs"])
+        got = [tuple(r.values()) for p in pairs.values() for r in line_dedup._meet(pa.table({"pairs": pa.array(p, pa.binary())})).to_pylist()]
+        assert len(got) == len(want) and set(got) == want
