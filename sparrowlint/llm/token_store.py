@@ -36,13 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowlint.llm.common import Memo, file_system, mix, rows_of, slices, spread, texts, words
+from sparrowlint.llm.common import file_system, mix, slices, spread, string_hashes, texts, words
 from sparrowlint.runtime import Workspace, ship
 
 MAGIC = b"CASPACK1"
 WINDOW, MASK_BITS, LEAST, MOST = 32, 8, 64, 4096
 RANGE_BITS = 12
-MEMO, STEP = 300_000, 4 << 20
+MEMO, STEP = 1_000_000, 4 << 20
 
 
 def cut_points(ids: np.ndarray) -> np.ndarray:
@@ -95,6 +95,70 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, and where each begins in them, with the end."""
+    off = np.frombuffer(arr.buffers()[1], np.int32, len(arr) + 1 + arr.offset)[arr.offset :].astype(np.int64)
+    data = arr.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)), off - off[0]
+
+
+class Pieces:
+    """The ids of strings seen before, in one table; past ``most`` strings only those of the last batch are kept.
+
+    Strings are found by a sorted 64-bit hash and compared byte by byte. One whose hash
+    another string has already is not found again, but encoded whenever it comes.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.key, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.raw, self.off, self.hash = np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.uint64)
+        self.table, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.last = np.zeros(0, np.int64)
+
+    def _find(self, raw: np.ndarray, off: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The slot of each string, -1 of new ones."""
+        if not len(self.key) or not len(h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+        slot = self.slot[at]
+        ok = (self.key[at] == h) & (np.diff(self.off)[slot] == np.diff(off))
+        rows = np.flatnonzero(ok)
+        size = np.diff(off)[rows]
+        mine, ends = spread(raw, off[:-1][rows], size)
+        differ = np.flatnonzero(mine != spread(self.raw, self.off[:-1][slot[rows]], size)[0])
+        ok[rows[np.searchsorted(ends, differ, side="right") - 1]] = False
+        return np.where(ok, slot, -1)
+
+    def slots(self, strings: pa.Array, encode) -> np.ndarray:
+        """Where each of the distinct strings lies in start and size; encode takes the rows of new ones and gives ids and sizes."""
+        (raw, off), h = _raw(strings), string_hashes(strings, seed=5)
+        if len(self.hash) + len(h) > self.most and len(self.hash):
+            keep = self.last
+            self.table, ends = spread(self.table, self.start[keep], self.size[keep])
+            self.start, self.size = ends[:-1], np.diff(ends)
+            self.raw, self.off = spread(self.raw, self.off[:-1][keep], np.diff(self.off)[keep])
+            self.hash = self.hash[keep]
+            self.key, self.slot = np.unique(self.hash, return_index=True)
+        out = self._find(raw, off, h)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            ids, size = encode(new)
+            out[new] = len(self.hash) + np.arange(len(new))
+            self.start = np.concatenate([self.start, len(self.table) + np.cumsum(size) - size])
+            self.size, self.table = np.concatenate([self.size, size]), np.concatenate([self.table, ids])
+            more, ends = spread(raw, off[:-1][new], np.diff(off)[new])
+            self.raw, self.off = np.concatenate([self.raw, more]), np.concatenate([self.off, self.off[-1] + ends[1:]])
+            self.hash = np.concatenate([self.hash, h[new]])
+            # Only hashes that the index lacks join it, where they sort.
+            fresh, first = np.unique(h[new], return_index=True)
+            at = np.searchsorted(self.key, fresh)
+            lack = (np.append(self.key, np.uint64(0))[at] != fresh) | (at == len(self.key))
+            self.key, self.slot = np.insert(self.key, at[lack], fresh[lack]), np.insert(self.slot, at[lack], out[new[first[lack]]])
+        self.last = out
+        return out
+
+
 class Encoder:
     """Encodes each distinct piece of the texts once, as long as it is remembered.
 
@@ -103,6 +167,8 @@ class Encoder:
     letters, single digits and the rest, as its file says, words of printable ASCII and
     Latin-1 letters without apostrophes are parted likewise and the pieces are pre-tokens:
     many go to the library in one text, and the marks of word ends part their ids again.
+    They are lower-cased and parted already, so that text needs no normalizer and its
+    pre-tokens end at the spaces.
     Other tokenizers encode whole texts.
     """
 
@@ -128,14 +194,21 @@ class Encoder:
         for token, i in vocab.items():
             self.ends[i] = bool(end) and token.endswith(end)
         self.classes = _classes()
-        self.memo = Memo(MEMO)
+        self.memo = Pieces(MEMO)
+        self.plain = self.tok
+        if self.by_piece:
+            from tokenizers import normalizers, pre_tokenizers
+
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
-    def whole(self, items: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(items, add_special_tokens=False)]
+    def whole(self, items: list[str], plain: bool = False) -> list[list[int]]:
+        return [e.ids for e in (self.plain if plain else self.tok).encode_batch_fast(items, add_special_tokens=False)]
 
     def _pretokens(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and sizes of pieces that are one pre-token each."""
-        got = [np.array(x, np.uint32) for x in self.whole([" ".join(items[i : i + 4096]) for i in range(0, len(items), 4096)])]
+        got = [np.array(x, np.uint32) for x in self.whole([" ".join(items[i : i + 4096]) for i in range(0, len(items), 4096)], plain=True)]
         ids = np.concatenate(got) if got else np.zeros(0, np.uint32)
         size = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
         if len(size) == len(items) and size.sum() == len(ids):
@@ -147,14 +220,13 @@ class Encoder:
         size = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter((i for x in got for i in x), np.uint32, int(size.sum())), size
 
-    def _split(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], int]:
+    def _split(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, int]:
         """The pieces of each distinct word: codes into the distinct pieces, offsets by word, the pieces, and how many are pre-tokens."""
         n = len(distinct)
         if not self.by_piece or not n:
-            return np.arange(n), np.arange(n + 1), distinct.to_pylist(), 0
-        off = np.frombuffer(distinct.buffers()[1], np.int32, n + 1 + distinct.offset)[distinct.offset :].astype(np.int64)
-        raw = np.frombuffer(distinct.buffers()[2], np.uint8)[off[0] : off[-1]].copy()
-        off = off - off[0]
+            return np.arange(n), np.arange(n + 1), distinct, 0
+        raw, off = _raw(distinct)
+        raw = raw.copy()
         kind = self.classes[raw]
         after = np.append(False, kind[:-1] == 4) & (raw >= 0x80) & (raw < 0xC0) & (raw != 0x97) & (raw != 0xB7)
         kind[after] = 1
@@ -164,25 +236,28 @@ class Encoder:
         kind[kind == 4] = 1
         raw[(raw >= 0x41) & (raw <= 0x5A)] += 0x20
         raw[after & (raw < 0x9F)] += 0x20
-        word = rows_of(off)
-        new = np.append(True, (kind[1:] != kind[:-1]) | (word[1:] != word[:-1])) | (kind == 2)
-        keep = simple[word]
-        starts = np.flatnonzero(new & keep)
-        flat = raw[keep]
-        at = np.append(np.cumsum(keep)[starts] - 1, len(flat)).astype(np.int32)
-        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(flat.tobytes())).dictionary_encode()
+        new = np.append(True, kind[1:] != kind[:-1]) | (kind == 2)
+        new[off[:-1]] = True
+        per = np.add.reduceat(new, off[:-1], dtype=np.int64)
         odd = np.flatnonzero(~simple)
+        flat = raw
+        if len(odd):
+            keep = np.repeat(simple, np.diff(off))
+            flat, new = raw[keep], new[keep]
+            per[odd] = 1
+        at = np.append(np.flatnonzero(new), len(flat)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(flat)).dictionary_encode()
         one = len(pieces.dictionary)
-        per = np.bincount(word[starts], minlength=n)
-        per[odd] = 1
-        ends = np.cumsum(per)
+        ends = np.append(0, np.cumsum(per))
+        if not len(odd):
+            return pieces.indices.to_numpy(), ends, pieces.dictionary, one
         codes = np.empty(int(ends[-1]), np.int64)
-        rare = ends[odd] - 1
+        rare = ends[1:][odd] - 1
         codes[rare] = one + np.arange(len(odd))
         common = np.ones(len(codes), bool)
         common[rare] = False
         codes[common] = pieces.indices.to_numpy()
-        return codes, np.append(0, ends), pieces.dictionary.to_pylist() + distinct.take(pa.array(odd)).to_pylist(), one
+        return codes, ends, pa.concat_arrays([pieces.dictionary, distinct.take(pa.array(odd))]), one
 
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after another, and the offset of each row."""
@@ -191,7 +266,13 @@ class Encoder:
             return flat, np.append(0, np.cumsum(size))
         codes, offsets, distinct = words(arr)
         parts, off, pieces, one = self._split(distinct)
-        slot = self.memo.slots((pieces[:one], self._pretokens), (pieces[one:], self._each))[parts]
+
+        def new(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            names, k = pieces.take(pa.array(rows)).to_pylist(), int(np.searchsorted(rows, one))
+            got = [self._pretokens(names[:k]), self._each(names[k:])]
+            return np.concatenate([ids for ids, _ in got]), np.concatenate([size for _, size in got])
+
+        slot = self.memo.slots(pieces, new)[parts]
         table, by_part = spread(self.memo.table, self.memo.start[slot], self.memo.size[slot])
         off = by_part[off]
         flat, by_word = spread(table, off[:-1][codes], np.diff(off)[codes])

@@ -178,6 +178,28 @@ def test_encoder_equals_library():
     assert not other.by_word and [flat[off[i] : off[i + 1]].tolist() for i in range(len(texts))] == other.whole(texts)
 
 
+def test_encoder_remembers(monkeypatch):
+    """Pieces of an early batch are not encoded again after 400,000 others; equal hashes, and a full memo, change no ids."""
+    import pyarrow as pa
+
+    enc = token_store.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    batches = [pa.array([" ".join(map(name, range(i, i + 80_000)))]) for i in range(0, 400_000, 80_000)]
+    first = [enc.encode(b)[0].tolist() for b in batches][0]
+    whole, asked = enc.whole, []
+    monkeypatch.setattr(enc, "whole", lambda items, *a, **k: asked.extend(items) or whole(items, *a, **k))
+    assert enc.encode(batches[0])[0].tolist() == first and not asked
+
+    enc = token_store.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    enc.memo.most = 500
+    monkeypatch.setattr(token_store, "string_hashes", lambda arr, seed: np.array([len(x) for x in arr.to_pylist()], np.uint64))
+    rng = random.Random(2)
+    for _ in range(20):
+        rows = [" ".join(rng.choice(["a", "Bc", "é", "日本", "x1", "12,", "it's"]) * rng.randrange(1, 6) + rng.choice("abcdef") for _ in range(40)) for _ in range(10)]
+        flat, off = enc.encode(pa.array(rows))
+        assert [flat[off[i] : off[i + 1]].tolist() for i in range(10)] == enc.whole(rows)
+
+
 def test_window_commits():
     """Text without spaces goes through the same window, which commits before the text ends."""
     import sentencepiece
