@@ -21,6 +21,7 @@ Pairs are not all looked at. Every block value has a centre, its least class, an
 its classes are compared with that; what links to one centre is one group already. Then
 only classes of different groups that share a value are compared with each other, so a
 large cluster of near copies costs one comparison a line, and no link between groups is lost.
+A task leaves out pairs of groups that links it has found connect already.
 """
 
 from __future__ import annotations
@@ -409,20 +410,73 @@ def _side_by_side(pairs: list[tuple[str, str, int]], wide: int) -> np.ndarray:
     return out
 
 
-def similar_lines(pairs: list[tuple[str, str]], similar: float) -> np.ndarray:
-    """Of each pair whether the edit distance is at most 1 - similar of the longer line's length. Bounds decide most pairs before the distance itself."""
+class Joined:
+    """Which groups the links found so far connect."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def same(self, pair: tuple[int, int]) -> bool:
+        return self.root(pair[0]) == self.root(pair[1])
+
+    def join(self, pair: tuple[int, int]) -> None:
+        self.up[self.root(pair[0])] = self.root(pair[1])
+
+
+def similar_lines(pairs: list[tuple[str, str]], similar: float, groups: list[tuple[int, int]] | None = None, joined: Joined | None = None) -> np.ndarray:
+    """Of each pair whether the edit distance is at most 1 - similar of the longer line's length. Bounds decide most pairs before the distance itself.
+
+    With groups, the two of each pair, pairs whose groups the links found connect already
+    are left out: what is connected stays the same.
+    """
     out, rest, where = np.zeros(len(pairs), bool), [], []
+    if groups is not None:
+        joined = joined or Joined()
     for i, (a, b) in enumerate(pairs):
         most = int((1 - similar) * max(len(a), len(b)) + 1e-9)
-        if abs(len(a) - len(b)) > most:
+        if abs(len(a) - len(b)) > most or groups is not None and joined.same(groups[i]):
             continue
-        if word_bound(a, b, most) <= most:
+        if word_bound(a, b, most) > most:
+            rest.append((a, b, most))
+            where.append(i)
+        else:
             out[i] = True
-            continue
+            if groups is not None:
+                joined.join(groups[i])
+    if groups is None:
+        out[where] = _within(rest)
+        return out
+    # Of two groups one pair is decided first, then four more, sixteen and so on, until they are joined or no pair is left.
+    left, most = list(range(len(rest))), 1
+    while left:
+        now, later, count = [], [], {}
+        for k in left:
+            x, y = map(joined.root, groups[where[k]])
+            if x == y:
+                continue
+            both = (x, y) if x < y else (y, x)
+            count[both] = count.get(both, 0) + 1
+            (now if count[both] <= most else later).append(k)
+        for k, ok in zip(now, _within([rest[k] for k in now])):
+            if ok:
+                out[where[k]] = True
+                joined.join(groups[where[k]])
+        left, most = later, 4 * most
+    return out
+
+
+def _within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """``many_within`` of the texts without what they begin and end with in common."""
+    out, rest, where = np.ones(len(pairs), bool), [], []
+    for i, (a, b, most) in enumerate(pairs):
         a, b = trimmed(a, b)
-        if max(len(a), len(b)) <= most:
-            out[i] = True
-        else:
+        if max(len(a), len(b)) > most:
             rest.append((a, b, most))
             where.append(i)
     if rest:
@@ -431,12 +485,18 @@ def similar_lines(pairs: list[tuple[str, str]], similar: float) -> np.ndarray:
 
 
 def _verify(similar: float):
+    """The pairs that link; with the groups ga and gb of each, enough of them to connect the same groups."""
+
     def run(it):
         held: list[pa.RecordBatch] = []
+        joined = Joined()
 
         def decided():
             rows = pa.Table.from_batches(held).combine_chunks()
-            ok = similar_lines(list(zip(rows.column("la").to_pylist(), rows.column("lb").to_pylist())), similar)
+            groups = list(zip(rows.column("ga").to_pylist(), rows.column("gb").to_pylist())) if "ga" in rows.column_names else None
+            if len(joined.up) > SEEN:
+                joined.up.clear()
+            ok = similar_lines(list(zip(rows.column("la").to_pylist(), rows.column("lb").to_pylist())), similar, groups, joined)
             return rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).to_batches()
 
         # Pairs are gathered up to PAIRS or 64 MB, as many of one width are compared at once.
@@ -479,7 +539,7 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         la, lb = (body.select(F.col("key").alias(k), F.col("body").alias("l" + k)) for k in "ab")
-        return ws.table(pairs.join(la, "a").join(lb, "b").select("a", "b", "la", "lb").mapInArrow(_verify(similar), "a long, b long"), name)
+        return ws.table(pairs.join(la, "a").join(lb, "b").select(*pairs.columns, "la", "lb").mapInArrow(_verify(similar), "a long, b long"), name)
 
     of = body.select(F.col("key").alias("ck"), F.col("n").alias("nc"), F.col("sim").alias("simc"))
     stars = shared.where("key <> ck").select("key", F.col("n").alias("nk"), F.col("sim").alias("simk"), "ck").distinct().join(of, "ck")
@@ -490,7 +550,7 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
     open_values = grouped.groupBy("v").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("v")
     grouped = ws.table(grouped.join(open_values, "v", "left_semi"), "grouped")
     x, y = (grouped.select("v", *(F.col(c).alias(c + s) for c in ("key", "n", "sim", "group"))) for s in "xy")
-    rest = x.join(y, "v").where("keyx < keyy and groupx <> groupy").where(close("x", "y")).select(F.col("keyx").alias("a"), F.col("keyy").alias("b")).distinct()
+    rest = x.join(y, "v").where("keyx < keyy and groupx <> groupy").where(close("x", "y")).select(F.col("keyx").alias("a"), F.col("keyy").alias("b"), F.col("groupx").alias("ga"), F.col("groupy").alias("gb")).distinct()
     second = verified(rest.join(stars, ["a", "b"], "left_anti"), "second")
     roots = connected_components(first.unionByName(second), ws)
     ws.drop("met", "shared", "bodies", "stars", "grouped")

@@ -178,6 +178,35 @@ def test_encoder_equals_library():
     assert not other.by_word and [flat[off[i] : off[i + 1]].tolist() for i in range(len(texts))] == other.whole(texts)
 
 
+def test_links_between_joined_groups():
+    """Pairs of groups that links connect already are left out, and what is connected stays the same as by all pairs."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    lines = []
+    for _ in range(6):
+        base = [rng.choice("abcdefgh") for _ in range(120)]
+        lines += ["".join(c if rng.random() > 0.035 else rng.choice("abcdefgh") for c in base) for _ in range(20)]
+    lines += ["one two three " * 6 + x for x in "abcdefgh"]
+    group = [i // 4 for i in range(len(lines))]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if group[i] != group[j]]
+    rng.shuffle(pairs)
+    columns = {"a": [i for i, _ in pairs], "b": [j for _, j in pairs], "ga": [group[i] for i, _ in pairs], "gb": [group[j] for _, j in pairs], "la": [lines[i] for i, _ in pairs], "lb": [lines[j] for _, j in pairs]}
+    table = pa.table(columns)
+
+    def connected(links):
+        root = {g: g for g in group}
+        for i, j in links:
+            x, y = root[group[i]], root[group[j]]
+            root = {g: x if r == y else r for g, r in root.items()}
+        return {frozenset(h for h in root if root[h] == root[g]) for g in root}
+
+    every = [p for p in pairs if line_dedup.distance_within(lines[p[0]], lines[p[1]], int(0.1 * max(len(lines[p[0]]), len(lines[p[1]])) + 1e-9))]
+    got = [(r["a"], r["b"]) for b in line_dedup._verify(0.9)(iter(table.to_batches(max_chunksize=500))) for r in b.to_pylist()]
+    assert set(got) <= set(every) and connected(got) == connected(every)
+    assert 6 < len(got) < len(every) / 4
+
+
 def test_encoder_remembers(monkeypatch):
     """Pieces of an early batch are not encoded again after 400,000 others; equal hashes, and a full memo, change no ids."""
     import pyarrow as pa
