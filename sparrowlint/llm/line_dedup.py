@@ -26,6 +26,8 @@ A task leaves out pairs of groups that links it has found connect already.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,8 +39,10 @@ from sparrowlint.llm.components import connected_components
 from sparrowlint.runtime import Workspace, ship
 
 SHARE, BLOCKS, LEAST_LEVEL, FEW_WORDS, SHORT, BITS = 2.5, 12, 3, 6, 30, 20
-SEEN, PAYS, STEP, PAIRS, CELLS = 1 << 17, 16, 1 << 20, 1 << 16, 1 << 23
+SEEN, PAYS, STEP, PAIRS, CELLS = 1 << 17, 16, 1 << 18, 1 << 16, 1 << 23
 PART, DEALT = 1 << 19, 1 << 18
+#: Joins that find each part of one side to be at most so large hash that side in place of sorting both.
+HASHED, HASHED_MOST = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m"
 _SPREAD = np.array([sum(((x >> j) & 1) << (8 * j) for j in range(8)) for x in range(256)], np.uint64)
 _ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
@@ -54,7 +58,7 @@ class Lines:
     """The normalised lines of all rows: lower case, runs of letters and digits apart by single spaces.
 
     offsets tell the lines of each row, words those of each line; hashes are of words, keys
-    of lines, lengths in characters. ASCII and Latin-1 letters are folded in numpy; rows
+    of lines, sizes in bytes, lengths in characters. ASCII and Latin-1 letters are folded in numpy; rows
     with other characters go through regular expressions first.
     """
 
@@ -86,13 +90,14 @@ class Lines:
         self.start = np.flatnonzero(inside & ~before)
         after = np.append(inside[1:], False) & ~first[1:]
         end = np.flatnonzero(inside & ~after) + 1
-        line = np.searchsorted(self.begin, self.start, side="right") - 1
-        self.words = np.searchsorted(line, np.arange(len(self.begin) + 1))
+        borders = np.append(self.begin, len(x))
+        self.words = np.searchsorted(self.start, borders)
         self.hashes = segment_hashes(byte_table(1)[x], self.start, end)
         self.keys = segment_hashes(self.hashes, self.words[:-1], self.words[1:])
-        chars = np.append(0, np.cumsum((x & 0xC0) != 0x80))
-        size = np.append(0, np.cumsum(chars[end] - chars[self.start] + 1))
-        self.lengths = np.maximum(size[self.words[1:]] - size[self.words[:-1]] - 1, 0)
+        size = np.append(0, np.cumsum(end - self.start + 1))
+        self.sizes = np.maximum(size[self.words[1:]] - size[self.words[:-1]] - 1, 0)
+        # Bytes that continue a character are all inside of words.
+        self.lengths = self.sizes - np.diff(np.searchsorted(np.flatnonzero((x & 0xC0) == 0x80), borders))
         self.inside = inside
 
     @staticmethod
@@ -107,7 +112,7 @@ class Lines:
         inner = np.ones(len(self.start), bool)
         inner[self.words[:-1][np.diff(self.words) > 0]] = False
         keep[self.start[inner] - 1] = True
-        at = np.append(0, np.cumsum(keep))[np.append(self.begin, len(keep))].astype(np.int32)
+        at = np.append(0, np.cumsum(self.sizes)).astype(np.int32)
         return pa.StringArray.from_buffers(len(self.begin), pa.py_buffer(at), pa.py_buffer(self.raw[keep].tobytes()))
 
 
@@ -116,16 +121,23 @@ def simhash(f: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n = np.diff(np.append(starts, len(f)))
     out = np.zeros(len(starts), np.uint64)
     half = np.minimum(n // 2 + 1, 127).astype(np.uint64) * _ONES
-    raw = f.view(np.uint8).reshape(-1, 8)
-    planes = np.ascontiguousarray(raw.T)
+    planes = np.ascontiguousarray(f.view(np.uint8).reshape(-1, 8).T)
     for k in range(8):
         # Eight counters of a byte each: a comparison sets the top bit of those that reach the half.
         counts = np.add.reduceat(_SPREAD[planes[k]], starts)
         up = (((counts | _TOPS) - half) & _TOPS) >> np.uint64(7)
         out |= ((up * np.uint64(0x0102040810204080)) >> np.uint64(56)) << np.uint64(8 * k)
-    for i in np.flatnonzero(n > 127):
-        bits = np.unpackbits(raw[starts[i] : starts[i] + n[i]], axis=1)
-        out[i] = np.packbits(2 * bits.sum(axis=0) > n[i]).view(np.uint64)[0]
+    if len(many := np.flatnonzero(n > 127)):
+        # So many by pieces of 127, whose counters are added up.
+        flat, ends = spread(f, starts[many], n[many])
+        pieces = -(-n[many] // 127)
+        first = np.cumsum(pieces) - pieces
+        at = np.repeat(ends[:-1], pieces) + 127 * (np.arange(int(pieces.sum())) - np.repeat(first, pieces))
+        planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8).T)
+        for k in range(8):
+            counts = np.add.reduceat(_SPREAD[planes[k]], at).view(np.uint8).reshape(-1, 8)
+            up = 2 * np.add.reduceat(counts, first, axis=0, dtype=np.int64) > n[many, None]
+            out.view(np.uint8).reshape(-1, 8)[many, k] = np.packbits(up, axis=1, bitorder="little")[:, 0]
     return out
 
 
@@ -151,10 +163,11 @@ def line_blocks(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     deal = (f >> np.uint64(40)).astype(np.int64)
     parts = []
     for below in (0, 1):
-        lv = (level - below)[fr]
-        g = deal & ((1 << np.maximum(lv, 0)) - 1)
-        keep = (g < BLOCKS) & (near[fr] if below else True)
-        parts.append((((fr[keep] * 2 + below) * 64 + lv[keep]) * BLOCKS + g[keep], f[keep]))
+        at = np.flatnonzero(near[fr]) if below else slice(None)
+        lv = level[fr[at]] - below
+        g = deal[at] & ((1 << np.maximum(lv, 0)) - 1)
+        keep = g < BLOCKS
+        parts.append((((fr[at][keep] * 2 + below) * 64 + lv[keep]) * BLOCKS + g[keep], f[at][keep]))
     cell, f = (np.concatenate(x) for x in zip(*parts))
     if not len(cell):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), whole
@@ -169,7 +182,7 @@ def line_blocks(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _lines(least: int, similar: float):
-    """Every line; of each class, where it is first seen, also its blocks and its text."""
+    """Every line; of each class, where it is first seen, also its text. The blocks of many classes are with the first of them."""
     one = int(np.ceil(1 / (1 - similar) - 1e-6)) if similar < 1 else 1 << 30
     low = int(similar * one)
 
@@ -196,16 +209,44 @@ def _lines(least: int, similar: float):
                     at = np.concatenate([at, np.repeat(short, [len(ys) for ys in left])])
                     value = np.concatenate([value, string_hashes(pa.array([y for ys in left for y in ys], pa.string()), seed=3)])
             order = np.argsort(at, kind="stable")
-            blocks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(at, minlength=len(n)))).astype(np.int32)), pa.array(signed(value[order])))
+            count = np.bincount(at, minlength=len(n))
+            blocks = _packed(key, first, count, value[order])
             is_first = np.zeros(len(n), bool)
             is_first[first] = True
             take = pa.array(row)
-            out = pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("tie").take(take), pa.array((np.arange(len(row)) - x.offsets[row]).astype(np.int32)), pa.array(signed(key)), pa.array(n.astype(np.int32)), pa.array(signed(sim)), pa.array(np.bincount(at, minlength=len(n)).astype(np.int32)), blocks, pc.if_else(pa.array(is_first), lines, pa.scalar(None, pa.string()))], ["doc_id", "tie", "line", "key", "n", "sim", "n_blocks", "blocks", "body"])
+            out = pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("tie").take(take), pa.array((np.arange(len(row)) - x.offsets[row]).astype(np.int32)), pa.array(signed(key)), pa.array(n.astype(np.int32)), pa.array(signed(sim)), pa.array(count.astype(np.int32)), blocks, pc.if_else(pa.array(is_first), lines, pa.scalar(None, pa.string()))], ["doc_id", "tie", "line", "key", "n", "sim", "n_blocks", "blocks", "body"])
             yield out.filter(pa.array(n >= max(1, least)))
 
     return run
 
 
+def _packed(key: np.ndarray, first: np.ndarray, count: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The values of the classes at ``first``, about DEALT of them together, at the first class of each such part, as 64-bit words: number of classes, keys, counts, values. A row for each class would cost more than its values."""
+    before = np.append(0, np.cumsum(count[first]))
+    s = np.append(np.flatnonzero(np.diff(before[:-1] // DEALT, prepend=-1)), len(first))
+    size = np.zeros(len(key), np.int64)
+    size[first[s[:-1]]] = 8 * (1 + 2 * np.diff(s) + np.diff(before[s]))
+    parts = []
+    for i, j in zip(s[:-1], s[1:]):
+        at = first[i:j]
+        parts += [np.array([j - i]), signed(key[at]), count[at], signed(values[before[i] : before[j]])]
+    data = np.concatenate(parts).tobytes() if parts else b""
+    packed = pa.BinaryArray.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(data)])
+    return pc.if_else(pa.array(size > 0), packed, pa.scalar(None, pa.binary()))
+
+
+def _values(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Values and the key of each, from what ``_packed`` made or from lists with a key beside each."""
+    blocks = b.column("blocks")
+    if pa.types.is_list(blocks.type):
+        yield blocks.flatten().to_numpy(), np.repeat(b.column("key").to_numpy(), pc.fill_null(pc.list_value_length(blocks), 0).to_numpy())
+        return
+    for x in blocks.drop_null():
+        x = np.frombuffer(x.as_buffer(), np.int64)
+        n = int(x[0])
+        yield x[2 * n + 1 :], np.repeat(x[1 : n + 1], x[n + 1 : 2 * n + 1])
+
+
 def _deal(parts: int):
     """The values of classes by part: ``pairs`` are value and key of each, 16 bytes together. A part is in memory at once, with all classes of its values."""
 
@@ -222,14 +263,12 @@ def _deal(parts: int):
             return pa.RecordBatch.from_arrays([pa.array(part[s]), pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(rows[order].tobytes())])], ["part", "pairs"])
 
         for b in it:
-            blocks = b.column("blocks")
-            size = pc.fill_null(pc.list_value_length(blocks), 0).to_numpy()
-            values = blocks.flatten().to_numpy()
-            for i in range(0, len(values), DEALT):
-                held.append(np.stack([values[i : i + DEALT], np.repeat(b.column("key").to_numpy(), size)[i : i + DEALT]], axis=1))
-                if sum(map(len, held)) >= DEALT:
-                    yield dealt()
-                    held.clear()
+            for values, keys in _values(b):
+                for i in range(0, len(values), DEALT):
+                    held.append(np.stack([values[i : i + DEALT], keys[i : i + DEALT]], axis=1))
+                    if sum(map(len, held)) >= DEALT:
+                        yield dealt()
+                        held.clear()
         if held:
             yield dealt()
 
@@ -326,87 +365,105 @@ def trimmed(a: str, b: str) -> tuple[str, str]:
 
 
 def many_within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
-    """``distance_within`` of many pairs. Where enough have patterns of one width they go side by side: a column of all tables at once, 64 rows of each to a word."""
+    """``distance_within`` of many pairs. Where enough have a band of one width they go side by side, whatever their lengths: a column of all tables at once."""
     out = np.zeros(len(pairs), bool)
     pairs = [(a, b, k) if len(a) <= len(b) else (b, a, k) for a, b, k in pairs]
-    wide = np.array([-(-len(a) // 64) for a, _, _ in pairs])
+    # Lengths that differ too much and empty texts need no table.
+    wide = np.array([k // 64 + 1 if a and len(b) - len(a) <= k < len(b) else 0 for a, b, k in pairs])
     for w in np.unique(wide):
         rows = np.flatnonzero(wide == w)
-        band = min(int(w), 2 + max(pairs[i][2] for i in rows) // 32)
-        if not w or len(rows) < PAYS * band:
+        if not w or len(rows) < PAYS * w:
             for i in rows:
                 out[i] = distance_within(*pairs[i])
             continue
         rows = rows[np.argsort([len(pairs[i][1]) for i in rows], kind="stable")]
-        step = max(PAYS * band, 8192 // band)
+        step = max(PAYS * w, 8192 // w)
         for x in range(0, len(rows), step):
             out[rows[x : x + step]] = _side_by_side([pairs[i] for i in rows[x : x + step]], int(w))
     return out
 
 
 def _side_by_side(pairs: list[tuple[str, str, int]], wide: int) -> np.ndarray:
-    """Only words that hold rows within ``most`` of the diagonal are computed: what they take for the rest is no less, so distances up to ``most`` are exact."""
+    """Only the diagonals that a distance up to ``most`` can touch are computed, most + 1 of them in ``wide`` words; what lies beyond is taken for no less than it is, so distances up to ``most`` are exact.
+
+    From one column to the next the words move down by a row. Their last bit is ``reach``
+    rows below the main diagonal; the score follows it down to the last row, then along that.
+    """
     m, n, most = (np.array(x, np.int64) for x in zip(*((len(a), len(b), k) for a, b, k in pairs)))
     flat = np.frombuffer("".join(a + b for a, b, _ in pairs).encode("utf-32-le"), np.uint32)
     used = np.zeros(int(flat.max()) + 1, bool)
     used[flat] = True
     code = (np.cumsum(used) - 1)[flat]
-    size = int(used.sum())
+    size, u, bits = int(used.sum()), len(pairs), 64 * wide
     begin = np.cumsum(m + n) - m - n
-    u = len(pairs)
-    if u * size * wide > CELLS:
-        # Many different characters: fewer pairs at once.
+    reach = (most - (n - m)) // 2
+    deep = int((n.max() - 1) // 64) + wide + 1
+    if u * size * deep > CELLS:
+        # Many different characters, or long texts: fewer pairs at once.
         if u <= PAYS:
             return np.array([distance_within(*p) for p in pairs])
         return np.concatenate([_side_by_side(pairs[: u // 2], wide), _side_by_side(pairs[u // 2 :], wide)])
+    # Where each character is in the shorter text, so placed that column j has bits j to j + bits of it.
     pair = np.repeat(np.arange(u), m)
-    at = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
-    cell = (pair * size + code[begin[pair] + at]) * wide + at // 64
+    row = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
+    at = row + np.repeat(bits - 1 - reach, m)
+    cell = ((at // 64) * u + pair) * size + code[begin[pair] + row]
     # The bits of a cell differ, so that their sum is their union; halves of 32 bits are exact in doubles.
     bit = 2.0 ** (at % 32)
     upper = at % 64 >= 32
-    halves = [np.bincount(cell[half], bit[half], u * size * wide).astype(np.uint64) for half in (~upper, upper)]
-    eqs = (halves[0] | halves[1] << np.uint64(32)).reshape(u * size, wide)
+    halves = [np.bincount(cell[half], bit[half], u * size * deep).astype(np.uint64) for half in (~upper, upper)]
+    eqs = (halves[0] | halves[1] << np.uint64(32)).reshape(-1, u * size)
     one, top = np.uint64(1), np.uint64(63)
-    ends = ((m - 1) % 64).astype(np.uint64)
-    pv = [np.full(u, ~np.uint64(0)) for _ in range(wide)]
+    # In column 0 values grow by one from row to row, from row 1 on.
+    zeros = bits - 1 - reach
+    pv = [~np.uint64(0) << np.clip(zeros - 64 * w, 0, 63).astype(np.uint64) for w in range(wide)]
+    pv = [np.where(zeros - 64 * w < 64, x, np.uint64(0)) for w, x in enumerate(pv)]
     mv = [np.zeros(u, np.uint64) for _ in range(wide)]
     live, out = np.arange(u), np.zeros(u, bool)
-    reach = int(most.max())
-    low = min(wide - 1, reach // 64)
-    # The value in the last row of the lowest word computed.
-    score = m.copy() if low == wide - 1 else np.full(u, 64 * (low + 1))
-    for j in range(int(n.max())):
+    score, turn, place, text = reach.copy(), m - reach, np.arange(u) * size, begin + m
+    last = int(n.max())
+    for j in range(last):
         if j % 16 == 0:
-            done = n[live] <= j
-            out[live[done]] = score[done] <= most[live[done]]
-            keep = ~done & ((low < wide - 1) | (score - (n[live] - j) <= most[live]))
+            done = n <= j
+            out[live[done]] = score[done] <= most[done]
+            keep = ~done & (score - np.minimum(n - j, n - turn) <= most)
             if not keep.all():
-                live, score, ends = live[keep], score[keep], ends[keep]
+                live, score, turn, place, text, m, n, most = (x[keep] for x in (live, score, turn, place, text, m, n, most))
                 pv, mv = [x[keep] for x in pv], [x[keep] for x in mv]
             if not len(live):
                 return out
-        going = n[live] > j
-        while low < min(wide - 1, (j + 1 + reach) // 64):
-            low += 1
-            score = score + (64 if low < wide - 1 else m[live] - 64 * (wide - 1))
-        high = max(0, (j - reach) // 64)
-        eq = eqs[live * size + code[np.minimum(begin[live] + m[live] + j, len(code) - 1)], high : low + 1]
-        up, down = np.ones(len(live), np.uint64), np.zeros(len(live), np.uint64)
-        for w in range(high, low + 1):
-            p, q, e = pv[w], mv[w], eq[:, w - high]
-            xv = e | q
-            e = e | down
-            xh = (((e & p) + p) ^ p) | e
-            ph, mh = q | ~(xh | p), p & xh
-            if w == low:
-                last = ends if low == wide - 1 else top
-                score += (((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)) * going
-            next_up, next_down = ph >> top, mh >> top
-            ph, mh = (ph << one) | up, (mh << one) | down
-            pv[w], mv[w] = mh | ~(xv | ph), ph & xv
-            up, down = next_up, next_down
-    out[live] = score <= most[live]
+            if len(live) * last < PAYS * wide * (last - j):
+                for i in live:
+                    out[i] = distance_within(*pairs[i])
+                return out
+            first, shift = j // 64, j % 64
+        here = place + code[np.minimum(text + j, len(code) - 1)]
+        off = np.uint64(shift + j % 16)
+        words = [eqs[first + w][here] for w in range(wide + 1)]
+        diagonals, ups, downs, down = [], [], [], np.uint64(0)
+        for w in range(wide):
+            p, q = pv[w], mv[w]
+            e = words[w] >> off | words[w + 1] << one << (top - off) | down
+            d = (((e & p) + p) ^ p) | e | q
+            diagonals.append(d)
+            ups.append(q | ~(d | p))
+            downs.append(d & p)
+            down = downs[w] >> top
+        # Past its last row a pair's score follows that row, which moves up in the words.
+        flat_now, going = j >= turn, n > j
+        if not flat_now.any():
+            score += (diagonals[-1] >> top ^ one).astype(np.int64)
+        else:
+            row = np.maximum(bits - 2 - (j - turn), 0)
+            by = (row % 64).astype(np.uint64)
+            change = np.zeros(len(live), np.int64)
+            for w in range(wide):
+                change += (((ups[w] >> by & one).astype(np.int64) - (downs[w] >> by & one).astype(np.int64))) * (row // 64 == w)
+            score += np.where(flat_now, change, (diagonals[-1] >> top ^ one).astype(np.int64)) * going
+        for w in range(wide):
+            d = diagonals[w] >> one | (diagonals[w + 1] << top if w + 1 < wide else np.uint64(0))
+            pv[w], mv[w] = downs[w] | ~(d | ups[w]), d & ups[w]
+    out[live] = score <= most
     return out
 
 
@@ -520,12 +577,12 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
     ship(spark)
     ws = ws or Workspace(spark, "lines")
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    seen = ws.table(source.mapInArrow(_lines(least, similar), "doc_id long, tie long, line int, key long, n int, sim long, n_blocks int, blocks array<long>, body string"), "lines", dictionary=False)
+    seen = ws.table(source.mapInArrow(_lines(least, similar), "doc_id long, tie long, line int, key long, n int, sim long, n_blocks int, blocks binary, body string"), "lines", dictionary=False)
     first_seen = seen.where("body is not null")
     # Every class has some ten values, few of them shared: what else is known of a class joins those only.
     # The values go by parts of some PART each, so many to a row that rows cost nothing; all of one value go to one part.
     parts = 1 + int(seen.agg(F.sum("n_blocks")).first()[0] or 0) // PART
-    dealt = first_seen.select("key", "blocks").mapInArrow(_deal(parts), "part int, pairs binary")
+    dealt = seen.select("blocks").where("blocks is not null").mapInArrow(_deal(parts), "part int, pairs binary")
     met = ws.table(dealt.groupBy("part").applyInArrow(_meet, "v long, key long, ck long"), "met", dictionary=False)
     needed = met.select("key").distinct()
     body = ws.table(first_seen.select("key", "n", "sim", "body").join(needed, "key", "left_semi").dropDuplicates(["key"]), "bodies")
@@ -564,15 +621,17 @@ def removed_lines(docs: DataFrame, similar: float = 0.9, least: int = 1) -> Data
     Groups are reduced with map-side minima; occurrences then meet their group's first in an
     equi-join that AQE splits.
     """
-    ws = Workspace(docs.sparkSession, "lines")
+    ws = Workspace(docs.sparkSession, "lines", {HASHED: HASHED_MOST})
     seen, roots = line_groups(docs, similar, ws, least)
-    per_key = seen.groupBy("key").agg(F.min(F.struct("doc_id", "tie", "line")).alias("first"), F.count("*").alias("c"))
-    rooted = per_key.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least_of = rooted.groupBy("root").agg(F.min("first").alias("least"), F.sum("c").alias("total"))
-    info = rooted.join(least_of.where("total > 1"), "root").select("key", F.col("least.doc_id").alias("d0"), F.col("least.tie").alias("t0"), F.col("least.line").alias("l0"))
-    hit = seen.join(info, "key").where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("tie") == F.col("t0")) & (F.col("line") == F.col("l0"))))
+    # Most lines occur once and link with nothing; a root has two classes at least.
+    repeated = seen.groupBy("key").count().where("count > 1").select("key")
+    groups = repeated.join(roots.withColumnRenamed("node", "key"), "key", "full").select("key", F.coalesce("root", "key").alias("root"))
+    grouped = ws.table(seen.join(groups, "key").select("root", "doc_id", "tie", "line"), "in-groups")
+    least_of = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "tie", "line")).alias("first"))
+    least_of = least_of.select("root", F.col("first.doc_id").alias("d0"), F.col("first.tie").alias("t0"), F.col("first.line").alias("l0"))
+    hit = grouped.join(least_of, "root").where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("tie") == F.col("t0")) & (F.col("line") == F.col("l0"))))
     removed = ws.table(hit.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.array_sort(F.collect_set("line")).alias("_removed")), "removed")
-    ws.drop("lines", "first", "second")
+    ws.drop("lines", "in-groups", "first", "second")
     return removed
 
 
@@ -580,7 +639,7 @@ def _with_removed(docs: DataFrame, similar: float, least: int) -> tuple[DataFram
     """docs with the lines to remove of each row, null where none, in a column whose name docs does not have."""
     names = {c: free_name(docs, c) for c in ("_id", "_tie", "_removed", "_hash")}
     removed = removed_lines(docs.select("doc_id", "text"), similar, least)
-    removed = removed.select(*(F.col(c).alias(names[c]) for c in removed.columns))
+    removed = removed.select(*(F.col(c).alias(names[c]) for c in removed.columns)).hint("shuffle_hash")
     keyed = docs.withColumn(names["_hash"], F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col(names["_id"])) & (F.col(names["_hash"]) == F.col(names["_tie"]))
     return keyed.join(removed, same, "left"), names["_removed"]
@@ -620,5 +679,7 @@ def line_report(docs: DataFrame, similar: float = 0.9, least: int = 1) -> DataFr
     no rows; other columns are not read.
     """
     joined, removed = _with_removed(docs.select("doc_id", "text"), similar, least)
-    kept = F.when(F.col(removed).isNull(), F.coalesce("text", F.lit(""))).otherwise(_kept(removed))
-    return joined.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+    text = F.coalesce("text", F.lit(""))
+    kept = F.when(F.col(removed).isNull(), text).otherwise(_kept(removed))
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))

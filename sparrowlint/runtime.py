@@ -43,11 +43,13 @@ class Workspace:
 
     ``table`` writes a DataFrame and reads it again; ``drop`` removes tables that
     no result reads any more. The shuffle files of a write go when it ends: left to the
-    driver's garbage collection, those of all steps would lie on disk at once.
+    driver's garbage collection, those of all steps would lie on disk at once. ``conf`` holds
+    for the writes only.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, conf: dict[str, str] | None = None):
         self.spark = spark
+        self.conf = {CLEANUP: "true"} | (conf or {})
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def at(self, name: str) -> str:
@@ -56,12 +58,14 @@ class Workspace:
     def table(self, df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
         """The rows as read back; without dictionary the writer does not try one, for columns of values that hardly repeat."""
         conf = self.spark.conf
-        before = conf.get(CLEANUP)
-        conf.set(CLEANUP, "true")
+        before = {k: conf.get(k) for k in self.conf}
+        for k, v in self.conf.items():
+            conf.set(k, v)
         try:
             df.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(self.at(name))
         finally:
-            conf.set(CLEANUP, before)
+            for k, v in before.items():
+                conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, *names: str) -> None:

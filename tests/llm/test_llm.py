@@ -371,3 +371,61 @@ def test_values_meet_in_parts():
                 pairs.setdefault(row["part"], []).append(row["pairs"])
         got = [tuple(r.values()) for p in pairs.values() for r in line_dedup._meet(pa.table({"pairs": pa.array(p, pa.binary())})).to_pylist()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_values_come_packed(monkeypatch):
+    """Values packed for many classes together are dealt like those in a list beside each key, in parts of any size."""
+    rng = np.random.default_rng(3)
+    first = np.arange(2, 1400, 2)
+    count = np.zeros(1500, np.int64)
+    count[first] = rng.integers(0, 9, len(first))
+    key, values = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1500, count.sum()))
+    ends = np.cumsum(count[first])
+    lists = [values[e - n : e].view(np.int64).tolist() for e, n in zip(ends, count[first])]
+    as_lists = pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(lists, pa.list_(pa.int64()))], ["key", "blocks"])
+
+    def pairs(batches):
+        rows = [(r["part"], p.tobytes()) for b in line_dedup._deal(7)(iter(batches)) for r in b.to_pylist() for p in np.frombuffer(r["pairs"], np.int64).reshape(-1, 2)]
+        return sorted(rows)
+
+    want = pairs([as_lists])
+    for dealt in (1 << 18, 50, 3):
+        monkeypatch.setattr(line_dedup, "DEALT", dealt)
+        packed = line_dedup._packed(key, first, count, values)
+        assert len(packed) - packed.null_count == (1 if dealt > len(values) else len(set((ends - count[first]) // dealt)))
+        batch = pa.RecordBatch.from_arrays([packed], ["blocks"])
+        assert pairs([batch.slice(0, 333), batch.slice(333)]) == want
+    assert line_dedup._packed(key, first[:0], count * 0, values[:0]).null_count == 1500
+
+
+def test_pairs_of_all_lengths_go_side_by_side(monkeypatch):
+    """Pairs no two of which have patterns of one width are decided together, up to the very distance; before, each went alone."""
+    rng = random.Random(6)
+    pairs = []
+    for n in range(70, 1200, 10):
+        a = "".join(rng.choice("abcdefgh é日") for _ in range(n))
+        b = list(a)
+        for _ in range(rng.randrange(n // 8)):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+        pairs.append((a, "".join(b)))
+    single = line_dedup.distance_within
+    every = [(a, b, k) for a, b in pairs for k in range(0, min(126, len(a) // 5), 9)]
+    want = [single(*p) for p in every]
+    alone = []
+    monkeypatch.setattr(line_dedup, "distance_within", lambda *p: alone.append(p) or single(*p))
+    assert line_dedup.many_within(every).tolist() == want and 0 < sum(want) < len(want)
+    at_tenth = [p for p in every if p[2] <= 126 and abs(len(p[0]) - len(p[1])) <= p[2]][::7]
+    alone.clear()
+    assert line_dedup.many_within(at_tenth).tolist() == [single(*p) for p in at_tenth]
+    assert len(alone) < len(at_tenth) / 4
+
+
+def test_simhash_of_many_features():
+    """Beyond 127 features, too, a bit is set where it is in more than half of them."""
+    rng = np.random.default_rng(4)
+    sizes = [1, 126, 127, 128, 129, 254, 255, 256, 1000, 3]
+    f = rng.integers(0, 1 << 63, sum(sizes), dtype=np.uint64)
+    starts = np.cumsum([0, *sizes[:-1]])
+    want = [sum(1 << i for i in range(64) if 2 * sum(int(x) >> i & 1 for x in f[s : s + n]) > n) for s, n in zip(starts, sizes)]
+    assert line_dedup.simhash(f, starts).tolist() == want
