@@ -32,6 +32,8 @@ from sparrowlint.runtime import Workspace, ship
 L, K = 100, 48
 CHUNK = 1 << 21
 SHARD_BYTES, HOT = 1 << 20, 4096
+#: The least words with one, two, up to eight bytes.
+_BYTES = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 
 def minima(h: np.ndarray, w: int, step: int = 1 << 27) -> np.ndarray:
     """Of every w values in a row the place of the least by its upper 36 bits, leftmost on ties; a step at a time, as places take 28 bits."""
@@ -123,36 +125,33 @@ def common_prefixes(b: np.ndarray, sa: np.ndarray, word: np.ndarray, cap: int =
     """Kasai: the bytes that each suffix in the array shares with the one before it, up to ``cap``.
 
     Every stretch of text carries its own match length from position to position; all
-    stretches advance together.
+    stretches advance together. A length carries over to the next position only where the
+    one compared there last, a byte further, is before it in the array: suffixes that share
+    more than the array's depth are in any order, and those of their next bytes may not be.
     """
     n = len(b)
     out, place = np.zeros(n, np.int64), np.empty(n, np.int64)
     place[sa] = np.arange(n)
     begins = np.arange(0, n, stretch)
-    h = np.zeros(len(begins), np.int64)
+    h, last = np.zeros(len(begins), np.int64), np.full(len(begins), n - 1)
     for t in range(stretch):
         i = begins + t
         live = np.flatnonzero((i < n) & (place[np.minimum(i, n - 1)] > 0))
-        gone = np.flatnonzero((i < n) & (place[np.minimum(i, n - 1)] == 0))
-        h[gone] = 0
         ii = i[live]
         jj = sa[place[ii] - 1]
-        g = np.maximum(h[live] - 1, 0)
+        after = last[live] + 1
+        g = np.where((after < n) & (place[np.minimum(after, n - 1)] < place[ii]), np.maximum(h[live] - 1, 0), 0)
         todo = np.arange(len(live))
         while len(todo):
             a, c = ii[todo] + g[todo], jj[todo] + g[todo]
             left = np.minimum(n - a, n - c)
             a, c = np.minimum(a, n - 1), np.minimum(c, n - 1)
-            diff = word[a] ^ word[c]
-            same = np.full(len(todo), 8, np.int64)
-            some = diff != 0
-            same[some] = (63 - np.floor(np.log2(diff[some].astype(np.float64))).astype(np.int64)) // 8
-            big = some & (diff >> np.uint64(56) != 0)
-            same[big] = 0
+            same = 8 - np.searchsorted(_BYTES, word[a] ^ word[c], side="right")
             same = np.minimum(same, np.maximum(left, 0))
             g[todo] = np.minimum(g[todo] + same, cap)
             todo = todo[(same == 8) & (g[todo] < cap)]
-        h[live] = g
+        h[:] = 0
+        h[live], last[live] = g, jj
         out[place[ii]] = g
     return out
 

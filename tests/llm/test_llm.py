@@ -122,6 +122,14 @@ def test_suffix_array():
         assert lcp[k] == min(n, 100)
 
 
+def test_prefixes_of_suffixes_longer_alike_than_sorted():
+    # What follows the 128 bytes puts the later windows in the other order than the first; other shares 8 bytes with them and those from the 99th on.
+    common = bytes(random.Random(1).choices(b"mnop", k=128))
+    other = common[1:9] + b"a" * 90 + common[99:]
+    pos, first, begins = substring_dedup.windows_in([common + b"z", common + b"a", other])
+    assert sorted(pos[pos != first].tolist()) == list(range(129, 158))
+
+
 def test_token_store(spark, rows, docs, none):
     from tokenizers import Tokenizer
 
