@@ -21,7 +21,8 @@ Pairs are not all looked at. Every block value has a centre, its least class, an
 its classes are compared with that; what links to one centre is one group already. Then
 only classes of different groups that share a value are compared with each other, so a
 large cluster of near copies costs one comparison a line, and no link between groups is lost.
-A task leaves out pairs of groups that links it has found connect already.
+A task holds whole values, makes their pairs itself and leaves out those of groups that links
+it has found connect already, so what is shuffled and written follows the classes, not the pairs.
 """
 
 from __future__ import annotations
@@ -34,13 +35,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowlint.llm.common import byte_table, free_name, mix, rows_of, segment_hashes, signed, slices, spread, string_hashes, texts, window_hashes
+from sparrowlint.llm.common import byte_table, free_name, in_filter, mix, rows_of, segment_hashes, signed, slices, spread, string_hashes, texts, window_hashes, write_filter
 from sparrowlint.llm.components import connected_components
 from sparrowlint.runtime import Workspace, ship
 
 SHARE, BLOCKS, LEAST_LEVEL, FEW_WORDS, SHORT, BITS = 2.5, 12, 3, 6, 30, 20
 SEEN, PAYS, STEP, PAIRS, CELLS = 1 << 17, 16, 1 << 18, 1 << 16, 1 << 23
 PART, DEALT = 1 << 19, 1 << 18
+#: Classes of a value that one task compares with all others of it, classes in a part, pairs compared at a time, and classes of characters.
+HOT, SPOTS, NEAR, LETTERS = 1 << 14, 1 << 14, 1 << 19, 32
 #: Joins that find each part of one side to be at most so large hash that side in place of sorting both.
 HASHED, HASHED_MOST = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m"
 _SPREAD = np.array([sum(((x >> j) & 1) << (8 * j) for j in range(8)) for x in range(256)], np.uint64)
@@ -568,6 +571,107 @@ def _verify(similar: float):
     return run
 
 
+def letter_counts(lines: list[str]) -> np.ndarray:
+    """The characters of each line in LETTERS classes of them: an edit changes two of the counts by one at most."""
+    flat = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    row = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    return np.bincount(row * LETTERS + flat % LETTERS, minlength=len(lines) * LETTERS).reshape(-1, LETTERS).astype(np.int32)
+
+
+def near_in_values(v: np.ndarray, n: np.ndarray, sim: np.ndarray, group: np.ndarray, mine: np.ndarray, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one value, of different groups, that may link by their lengths and SimHashes: pairs of row numbers, some NEAR compared at a time. Only rows that are ``mine`` come first in a pair."""
+    order = np.lexsort((n, v))
+    v, n, sim, group, mine = (x[order] for x in (v, n, sim, group, mine))
+    value = np.cumsum(np.append(True, v[1:] != v[:-1])[: len(v)])
+    longest = np.floor(n / similar).astype(np.int64) + 1
+    while len(much := np.flatnonzero(similar * longest > n)):
+        longest[much] -= 1
+    wide = int(longest.max()) + 1
+    end = np.searchsorted(value * wide + n, value * wide + longest, side="right")
+    count = np.where(mine, end - np.arange(len(v)) - 1, 0)
+    at = np.flatnonzero(count)
+    total = np.cumsum(count[at])
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + NEAR, side="right")))
+        i = np.repeat(at[a:b], count[at[a:b]])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[at[a:b]]) - count[at[a:b]], count[at[a:b]])
+        ok = np.flatnonzero((np.bitwise_count((sim[i] ^ sim[j]).view(np.uint64)) <= BITS) | (n[i] < SHORT))
+        i, j = i[ok], j[ok]
+        ok = group[i] != group[j]
+        if ok.any():
+            yield order[i[ok]], order[j[ok]]
+        a = b
+
+
+def _common(x: pa.ListArray, y: pa.ListArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least value that the lists i of x and j of y share; where none, the largest number."""
+    none = np.iinfo(np.int64).max
+    out = np.full(len(i), none)
+    sides = []
+    for lists, at in ((x, i), (y, j)):
+        off, size = lists.offsets.to_numpy().astype(np.int64), lists.value_lengths().to_numpy()
+        sides.append((lists.values.to_numpy(), off[at], size[at]))
+    (xv, xo, xn), (yv, yo, yn) = sides
+    both = np.flatnonzero((xn > 0) & (yn > 0))
+    for k in range(0, len(both), 4096):
+        at = both[k : k + 4096]
+        xs, ys = np.arange(xn[at].max()), np.arange(yn[at].max())
+        left = xv[np.minimum(xo[at, None] + xs, len(xv) - 1)]
+        same = left[:, :, None] == yv[np.minimum(yo[at, None] + ys, len(yv) - 1)][:, None, :]
+        same &= (xs < xn[at, None])[:, :, None] & (ys < yn[at, None])[:, None, :]
+        out[at] = np.where(same.any(axis=2), left, none).min(axis=1)
+    return out
+
+
+def _rest(similar: float):
+    """Of whole values, with the lines of their classes, the pairs of different groups that link, enough of them to connect the same groups.
+
+    ``vs`` are all values of a class, ``cs`` those whose centre it is. A pair is looked at
+    with the least value that it shares, and not if one of the two was the other's centre.
+    """
+    joined = Joined()
+
+    def run(t: pa.Table) -> pa.Table:
+        v, key, n, sim, group, way, ways = (t.column(c).to_numpy() for c in ("v", "key", "n", "sim", "group", "way", "ways"))
+        lines, vs, cs = (t.column(c).combine_chunks() for c in ("body", "vs", "cs"))
+        mine = mix(key.view(np.uint64)) % ways.astype(np.uint64) == way.astype(np.uint64)
+        # Copies of a value for several tasks are apart.
+        copy = signed(mix(v.view(np.uint64) + way.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        found: list[np.ndarray] = []
+        links = []
+
+        def decided():
+            i, j = np.concatenate(found, axis=1)
+            found.clear()
+            used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            text = lines.take(pa.array(used)).to_pylist()
+            counts, size = letter_counts(text), np.array([len(x) for x in text])
+            x, y = at.reshape(2, -1)
+            most = ((1 - similar) * np.maximum(size[x], size[y]) + 1e-9).astype(np.int64)
+            ok = np.concatenate([np.abs(counts[x[k : k + 8192]] - counts[y[k : k + 8192]]).sum(axis=1) for k in range(0, len(x), 8192)]) <= 2 * most
+            i, j, x, y = i[ok], j[ok], x[ok], y[ok]
+            if len(joined.up) > SEEN:
+                joined.up.clear()
+            ok = similar_lines([(text[a], text[b]) for a, b in zip(x.tolist(), y.tolist())], similar, list(zip(group[i].tolist(), group[j].tolist())), joined)
+            links.append(np.stack([key[i[ok]], key[j[ok]]]))
+
+        for i, j in near_in_values(copy, n, sim, group, mine, similar) if len(v) else ():
+            ok = _common(vs, vs, i, j) == v[i]
+            i, j = i[ok], j[ok]
+            none = np.iinfo(np.int64).max
+            ok = (_common(cs, vs, i, j) == none) & (_common(vs, cs, i, j) == none)
+            found.append(np.stack([i[ok], j[ok]]))
+            if sum(x.shape[1] for x in found) >= PAIRS:
+                decided()
+        if sum(x.shape[1] for x in found):
+            decided()
+        a, b = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
 def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = None, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """``occurrences(doc_id, tie, line, key, n)`` and ``roots(node, root)`` of linked classes.
 
@@ -584,8 +688,17 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
     parts = 1 + int(seen.agg(F.sum("n_blocks")).first()[0] or 0) // PART
     dealt = seen.select("blocks").where("blocks is not null").mapInArrow(_deal(parts), "part int, pairs binary")
     met = ws.table(dealt.groupBy("part").applyInArrow(_meet, "v long, key long, ck long"), "met", dictionary=False)
-    needed = met.select("key").distinct()
-    body = ws.table(first_seen.select("key", "n", "sim", "body").join(needed, "key", "left_semi").dropDuplicates(["key"]), "bodies")
+    needed = ws.table(met.select("key").distinct(), "needed", dictionary=False)
+    maybe = write_filter(needed, "key", ws, "needed", 16)
+
+    def wanted(it):
+        # Lines that no value shares stay where they are, and are not shuffled.
+        for b in it:
+            yield b.filter(pa.array(in_filter(maybe, b.column("key").to_numpy())))
+
+    shared_lines = first_seen.select("key", "n", "sim", "body").mapInArrow(wanted, "key long, n int, sim long, body string")
+    body = ws.table(shared_lines.join(needed, "key", "left_semi").dropDuplicates(["key"]), "bodies")
+    ws.drop("needed", "needed.filter")
     shared = ws.table(met.join(body.select("key", "n", "sim"), "key"), "shared")
 
     def close(a: str, b: str):
@@ -603,12 +716,16 @@ def line_groups(docs: DataFrame, similar: float = 0.9, ws: Workspace | None = No
     stars = ws.table(stars.where(close("c", "k")).select(F.col("ck").alias("a"), F.col("key").alias("b")), "stars")
     first = verified(stars, "first")
     group = first.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("group"))
-    grouped = shared.join(group, "key", "left").select("v", "key", "n", "sim", F.coalesce("group", "key").alias("group"))
-    open_values = grouped.groupBy("v").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("v")
-    grouped = ws.table(grouped.join(open_values, "v", "left_semi"), "grouped")
-    x, y = (grouped.select("v", *(F.col(c).alias(c + s) for c in ("key", "n", "sim", "group"))) for s in "xy")
-    rest = x.join(y, "v").where("keyx < keyy and groupx <> groupy").where(close("x", "y")).select(F.col("keyx").alias("a"), F.col("keyy").alias("b"), F.col("groupx").alias("ga"), F.col("groupy").alias("gb")).distinct()
-    second = verified(rest.join(stars, ["a", "b"], "left_anti"), "second")
+    grouped = shared.join(group, "key", "left").select("v", "key", "ck", "n", "sim", F.coalesce("group", "key").alias("group"))
+    open_values = grouped.groupBy("v").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.ceil(F.count("*") / HOT).alias("ways")).where("lo < hi").select("v", "ways")
+    grouped = ws.table(grouped.join(open_values, "v"), "grouped")
+    # The pairs that share a value by chance grow as the square of the table: they are made where all lines of the value are, and never written.
+    is_centre = F.col("key") == F.col("ck")
+    spots = grouped.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "sim", "group")), F.collect_list(F.when(~is_centre, F.struct("v", "ways"))).alias("at"), F.collect_list(F.when(is_centre, F.col("v"))).alias("cs"))
+    spots = spots.join(body.select("key", "body"), "key").select("key", "n", "sim", "group", "body", F.col("at.v").alias("vs"), "cs", F.explode("at").alias("x"))
+    spots = spots.select("key", "n", "sim", "group", "body", "vs", "cs", "x.v", "x.ways", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.ways") - 1)).alias("way"))
+    parts = 1 + grouped.count() // SPOTS
+    second = ws.table(spots.groupBy(F.pmod(F.xxhash64("v", "way"), F.lit(parts)).alias("part")).applyInArrow(_rest(similar), "a long, b long"), "second")
     roots = connected_components(first.unionByName(second), ws)
     ws.drop("met", "shared", "bodies", "stars", "grouped")
     return seen.select("doc_id", "tie", "line", "key", "n"), roots

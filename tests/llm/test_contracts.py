@@ -391,3 +391,23 @@ def test_steps_leave_no_shuffle_files(spark, some, tmp_path):
         held, result = set(glob.glob(folders)), stage(docs)
         new = {p.rsplit("/", 1)[1] for p in set(glob.glob(folders)) - held}
         assert not new & {"lines", "first", "second", "described", "links", "posts", "sets"} and result.count() > 0
+
+
+def _shuffled(spark):
+    """Records that all stages so far have written for others."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_pairs_that_share_a_value_by_chance_are_not_shuffled(spark):
+    took = {}
+    for n in (300, 1200):
+        r = random.Random(3)
+        lines = [" ".join(["zq", "at", *("".join(r.choices("abe", k=4)) for _ in range(3))]) for _ in range(n)]
+        docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+        before = _shuffled(spark)
+        assert line_dedup.line_groups(docs)[1].count()
+        took[n] = _shuffled(spark) - before
+    assert took[1200] < 6 * took[300], took
