@@ -56,23 +56,25 @@ def canonical_type(kind: Column) -> Column:
     return F.coalesce(alias[bare], F.when(bare.contains("."), alias[F.regexp_extract(bare, r"\.([^.]*)$", 1)]))
 
 
-def query_candidates(p: str = "parsed") -> Column:
-    """An array of (rule_id, message) of what the query rules find in one parsed statement."""
+def query_candidates(p: str = "parsed", on: list[str] | None = None) -> Column:
+    """An array of (rule_id, message) of what the query rules, or those that are on, find in one parsed statement."""
     c = lambda name: F.col(f"{p}.{name}")
-    cmd, no = c("command"), F.lit(None).cast("struct<rule_id:string,message:string>")
+    kind = "struct<rule_id:string,message:string>"
+    cmd, no = c("command"), F.lit(None).cast(kind)
     hit = lambda rid, msg, cond: F.when(cond, F.struct(F.lit(rid).alias("rule_id"), F.lit(msg).alias("message"))).otherwise(no)
     free = ~c("restrictive")
     limited = F.trim(F.coalesce(c("limit"), F.lit(""))) != ""
     single = (F.size(c("columns")) > 0) & (F.size(c("group_by")) == 0) & F.forall(c("columns"), is_aggregate)
     like = F.exists(F.concat(c("where"), c("having"), c("join_conditions")), lambda x: x.rlike(LEADING_WILDCARD))
-    fixed = F.array(
-        hit("VG001", "avoid SELECT *; project only required columns", (cmd == "SELECT") & F.exists(c("columns"), is_wildcard)),
-        hit("VG002", "UPDATE without WHERE may affect all rows; add a WHERE clause", (cmd == "UPDATE") & free),
-        hit("VG003", "DELETE without WHERE may affect all rows; add a WHERE clause", (cmd == "DELETE") & free),
-        hit("VG004", "SELECT without LIMIT may return unbounded rows; add LIMIT or FETCH FIRST", (cmd == "SELECT") & (F.size(c("tables")) > 0) & ~single & ~limited),
-        hit("VG005", "LIKE/ILIKE with leading wildcard may prevent index usage; use a suffix pattern or full-text search", cmd.isin("SELECT", "UPDATE", "DELETE") & like),
-        hit("VG006", "SELECT FOR UPDATE without WHERE may lock too many rows; add a WHERE clause", (cmd == "SELECT") & c("stripped").rlike(r"(?i)\bFOR\s+UPDATE\b") & free & ~limited),
-    )
+    fixed = {
+        "VG001": ("avoid SELECT *; project only required columns", (cmd == "SELECT") & F.exists(c("columns"), is_wildcard)),
+        "VG002": ("UPDATE without WHERE may affect all rows; add a WHERE clause", (cmd == "UPDATE") & free),
+        "VG003": ("DELETE without WHERE may affect all rows; add a WHERE clause", (cmd == "DELETE") & free),
+        "VG004": ("SELECT without LIMIT may return unbounded rows; add LIMIT or FETCH FIRST", (cmd == "SELECT") & (F.size(c("tables")) > 0) & ~single & ~limited),
+        "VG005": ("LIKE/ILIKE with leading wildcard may prevent index usage; use a suffix pattern or full-text search", cmd.isin("SELECT", "UPDATE", "DELETE") & like),
+        "VG006": ("SELECT FOR UPDATE without WHERE may lock too many rows; add a WHERE clause", (cmd == "SELECT") & c("stripped").rlike(r"(?i)\bFOR\s+UPDATE\b") & free & ~limited),
+    }
+    fixed = [hit(rid, *x) for rid, x in fixed.items() if on is None or rid in on]
 
     def action(a):
         name = lambda what, v: F.concat(F.lit(f"destructive DDL detected: {what}"), F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(" "), v)).otherwise(F.lit("")))
@@ -87,7 +89,10 @@ def query_candidates(p: str = "parsed") -> Column:
             .otherwise(no)
         )
 
-    return F.filter(F.concat(fixed, F.transform(c("ddl"), action)), lambda x: x.isNotNull())
+    parts = [F.array(*fixed)] if fixed else []
+    if on is None or {"VG007", "VG008"} & {*on}:
+        parts.append(F.transform(c("ddl"), action))
+    return F.filter(F.concat(*parts), lambda x: x.isNotNull()) if parts else F.array().cast(f"array<{kind}>")
 
 
 def configured(found: DataFrame, config: Config, kinds: tuple[str, ...]) -> DataFrame:
@@ -118,7 +123,8 @@ def ranged(found: DataFrame) -> DataFrame:
 
 def query_findings(statements: DataFrame, directives: DataFrame, config: Config) -> DataFrame:
     base = statements.where("not fatal and parsed.error is null")
-    found = base.select("file", "engine", "sql", "line", "column", "end_line", "end_column", F.explode(query_candidates()).alias("f")).select("*", "f.rule_id", "f.message").drop("f")
+    on = [r for r in RULES if RULES[r].kind == "query" and config.enabled(r)]
+    found = base.select("file", "engine", "sql", "line", "column", "end_line", "end_column", F.explode(query_candidates(on=on)).alias("f")).select("*", "f.rule_id", "f.message").drop("f")
     return ranged(suppressed(configured(found, config, ("query",)), directives))
 
 

@@ -123,8 +123,10 @@ def engine_scope(spark, sf_dir):
 def finding_order(spark, sf_dir):
     # The place in each range partition plus the rows before it: a total order without one task for all rows.
     ws = Workspace(spark, "order")
-    ranged = findings(spark, sf_dir).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select(*ORDER, F.spark_partition_id().alias("p"))
+    # Ranges are drawn from a sample, for which all files would be scanned once more.
+    ranged = ws.table(findings(spark, sf_dir).select(*ORDER), "found").repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select(*ORDER, F.spark_partition_id().alias("p"))
     rows = ws.table(ranged, "ranged")
+    ws.drop("found")
     before = rows.groupBy("p").agg(F.count("*").alias("c")).withColumn("b", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy(*ORDER))).join(before, "p").select("rule_id", "file", (F.col("b") + F.col("i")).alias("n"))
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 from sparrowlint.functions import sqltext
 from sparrowlint.plans.config import HELP_URL, NAME, RULES
 from sparrowlint.plans.lint import ORDER
+from sparrowlint.runtime import Workspace
 
 
 @F.pandas_udf(StringType())
@@ -86,10 +87,13 @@ def write_lines(findings: DataFrame, kind: str, path: str) -> None:
     """Text files under ``path`` whose names give the report's order: a diagnostic a line, of any number of findings.
 
     Rows are ordered by range partitions, so that no task and no driver holds the report;
-    a retried task replaces its own file.
+    a retried task replaces its own file. They are written once before, as ranges are drawn
+    from a sample, for which all files would be scanned once more.
     """
-    ordered = LINES[kind](findings).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    ws = Workspace(findings.sparkSession, "findings")
+    ordered = LINES[kind](ws.table(findings, "found")).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
     ordered.select("text").write.mode("overwrite").option("lineSep", "\n").text(path)
+    ws.drop("found")
 
 
 def report(findings: DataFrame, kind: str, version: str = "", tag: str = NAME) -> str:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +42,37 @@ MODELS = "file string, source string, idx int, `table` string, table_explicit bo
 ARROW_MODELS = pa.schema([("file", _S), ("source", _S), ("idx", _I), ("table", _S), ("table_explicit", _B), ("table_kind", _S), ("table_source", _S), ("line", _I), ("columns", pa.list_(pa.struct([("name", _S), ("field", _S), ("type", _S), ("line", _I), ("kind", _S), ("mapping_source", _S)]))), ("error", _S)])
 
 
+#: Bytes of content that a worker takes apart at a time; statements of up to so many characters that it remembers, and how many of them.
+SLICE, REMEMBERED, MOST = 1 << 20, 1000, 1 << 12
+
+
 def parsed_struct(sql: str) -> dict:
+    """What the rules read of a statement. Those that repeat in a worker's files are parsed once; the result is not to be changed."""
+    return _remembered(sql) if len(sql) <= REMEMBERED else _parsed(sql)
+
+
+def _parsed(sql: str) -> dict:
     p = parse(sql)
     p["tables"] = [{"name": t["name"], "kind": t["type"], "key": (k := bare_identifier(t["name"])), "keys": sorted({k, bare_identifier(t["raw"]), bare_identifier(t["alias"])} - {""})} for t in p["tables"]]
     p["usages"] = [{"usage": u["usage_type"], "alias": bare_identifier(u["table_alias"]), "col": "" if (c := bare_identifier(u["column"])) == "*" else c} for u in p["usages"]]
     return p
 
 
+_remembered = lru_cache(MOST)(_parsed)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about SLICE bytes of content, so that what a worker holds does not follow the rows of a batch."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("content")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.unique(np.searchsorted(size, np.arange(SLICE, int(size[-1]) + SLICE, SLICE), side="right")) if len(size) else ()
+        at = 0
+        for end in (*ends, b.num_rows):
+            if end > at:
+                yield b.slice(at, end - at)
+                at = int(end)
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
 
@@ -82,7 +110,7 @@ def class_tables(files: DataFrame) -> DataFrame:
     py = files.where((extension(F.col("path")) == ".py") & F.regexp_like("content", F.lit("|".join(map(re.escape, pysrc.QUERY_MARKERS)))))
 
     def defined(it):
-        for b in it:
+        for b in slices(it):
             rows = []
             for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 try:
@@ -103,7 +131,7 @@ def statements(files: DataFrame, config: Config, parsed: bool = True) -> DataFra
     tag = config.tag
 
     def run(it):
-        for b in it:
+        for b in slices(it):
             rows = []
             for path, content, tables in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), b.column("tables").to_pylist()):
                 ext = path.rsplit(".", 1)[-1] if "." in path else ""
@@ -128,7 +156,7 @@ def statements(files: DataFrame, config: Config, parsed: bool = True) -> DataFra
 
 
 def _has(files: DataFrame, ext: str) -> bool:
-    return not files.where(extension(F.col("path")) == ext).isEmpty()
+    return not files.where(F.lower("path").endswith(ext)).isEmpty()
 
 
 def models(files: DataFrame, config: Config) -> DataFrame:
@@ -137,7 +165,7 @@ def models(files: DataFrame, config: Config) -> DataFrame:
     mode = config.mapping_mode
 
     def run(it):
-        for b in it:
+        for b in slices(it):
             rows = []
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 source = "go" if path.endswith(".go") else "sqlalchemy"

@@ -83,3 +83,46 @@ def test_entry_names_match():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_statements_that_repeat_are_parsed_once(monkeypatch):
+    from sparrowlint.sources import files
+
+    seen = []
+    monkeypatch.setattr(files, "parse", lambda sql: seen.append(sql) or {"tables": [], "usages": []})
+    long = "SELECT '" + "x" * files.REMEMBERED + "'"
+    for sql in ("SELECT 1 -- repeats", "SELECT 2 -- repeats", "SELECT 1 -- repeats", long, long):
+        files.parsed_struct(sql)
+    assert seen == ["SELECT 1 -- repeats", "SELECT 2 -- repeats", long, long]
+    files._remembered.cache_clear()
+
+
+def test_batches_are_taken_apart_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from sparrowlint.sources import files
+
+    monkeypatch.setattr(files, "SLICE", 100)
+    for sizes in ([30] * 12, [250, 1, 1, 300], [None, 99, 2], [0, 0], []):
+        batch = pa.RecordBatch.from_pydict({"content": pa.array([None if n is None else "x" * n for n in sizes], pa.string())})
+        parts = [b.column("content").to_pylist() for b in files.slices(iter([batch]))]
+        assert sum(parts, []) == batch.column("content").to_pylist()
+        assert all(sum(len(x or "") for x in p) <= 100 + max(len(x or "") for x in p) for p in parts)
+        assert len(parts) > 1 or sum(n or 0 for n in sizes) <= 100
+
+
+def test_written_reports_scan_their_files_once(spark, tmp_path):
+    from sparrowlint.plans import sinks
+
+    made = spark.sparkContext.accumulator(0)
+    schema = "rule_id string, severity string, message string, file string, line int, column int, end_line int, end_column int, sql string"
+
+    def found(it):
+        for b in it:
+            made.add(len(b))
+            yield b
+
+    rows = [("VG001", "warning", "m", f"q/{k}.sql", 1, 1, 1, 2, "SELECT *") for k in range(200)]
+    sinks.write_lines(spark.createDataFrame(rows, schema).repartition(4).mapInPandas(found, schema), "rdjsonl", str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 200
+    assert made.value == 200
